@@ -1,0 +1 @@
+"""Empty on purpose: every input is a bounded table and no analysis keeps state over a stream."""
