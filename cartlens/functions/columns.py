@@ -115,7 +115,8 @@ def dollars(column: str | Column, digits: int = 0) -> Column:
 
 def percent_text(column: str | Column, digits: int = 2) -> Column:
     """A share such as 0.0256 as '2.56%', without thousands separators."""
-    return F.format_string(f"%.{digits}f%%", _col(column) * 100.0)
+    number = F.translate(grouped_digits(_col(column) * 100.0, digits), ",", "")
+    return F.concat(number, F.lit("%"))
 
 
 def _nth(words: list[str], position: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi_square_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -24,7 +25,7 @@ def chi_square_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(F.least(a, b, c, d) >= 0, statistic)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p_value(statistic: pd.Series) -> pd.Series:
     """Upper tail for one degree of freedom; Spark has no error function. Used on one result row."""
     return statistic.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")

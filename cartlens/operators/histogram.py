@@ -15,10 +15,22 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     constant = low == high
     start = F.when(constant, low - 0.5).otherwise(low)
     end = F.when(constant, high + 0.5).otherwise(high)
+    width = (end - start) / bins
+
+    def edge(number: Column) -> Column:
+        return start + (number - 1) * width
+
+    # The scaled position can miss a value that lies on an edge by one bin: the edges decide.
+    guess, value_of = F.col("guess"), F.col("value")
+    settled = (
+        F.when((guess > 1) & (value_of < edge(guess)), guess - 1)
+        .when((guess < bins) & (value_of >= edge(guess + 1)), guess + 1)
+        .otherwise(guess)
+    )
     filled = (
         values.withColumn("span", span)
-        .select(F.least(F.width_bucket("value", start, end, F.lit(bins)), F.lit(bins)).alias("bin"))
-        .groupBy("bin")
+        .withColumn("guess", F.least(F.width_bucket("value", start, end, F.lit(bins)), F.lit(bins)))
+        .groupBy(settled.alias("bin"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
     spine = (
@@ -27,10 +39,9 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
         .withColumn("span", span)
         .where(F.col("span").getField("low").isNotNull())
     )
-    width = (end - start) / bins
     return spine.join(filled, "bin", "left").select(
         "bin",
-        (start + (F.col("bin") - 1) * width).alias("lower"),
-        F.when(F.col("bin") == bins, end).otherwise(start + F.col("bin") * width).alias("upper"),
+        edge(F.col("bin")).alias("lower"),
+        F.when(F.col("bin") == bins, end).otherwise(edge(F.col("bin") + 1)).alias("upper"),
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
     )

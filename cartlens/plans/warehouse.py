@@ -25,8 +25,14 @@ MARTS = {
 class Warehouse:
     """Cleaned tables and marts by name, each opened on first use."""
 
-    def __init__(self, spark: SparkSession, opener: Callable[["Warehouse", str], DataFrame]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        opener: Callable[["Warehouse", str], DataFrame],
+        raw: dict[str, DataFrame] | None = None,
+    ):
         self.spark = spark
+        self.raw = raw or {}
         self._opener = opener
 
     def _open(self, name: str) -> DataFrame:
@@ -89,7 +95,7 @@ def staged_warehouse(spark: SparkSession, raw: dict[str, DataFrame]) -> Warehous
         builder, inputs = MARTS[name.removeprefix(MART_PREFIX)]
         return stage(builder(*[getattr(warehouse, table) for table in inputs]), name)
 
-    return Warehouse(spark, build)
+    return Warehouse(spark, build, raw)
 
 
 def build_warehouse(
