@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cartlens.vocabulary import LOYALTY_TIERS, LOWEST_SEGMENT, MONTHS, SEGMENT_FLOORS, WEEKDAYS, WHITESPACE
 
-# Money, discounts and durations are summed as exact decimals: the total then does not depend on
-# the order in which partial sums are merged, so neither do ranks and rounded means.
+# Money, discounts and durations are exact decimals: a total then does not depend on the order in
+# which partial sums are merged, so neither do ranks and rounded means. Up to 18 digits fit a long.
+MONEY = "decimal(18,4)"
 EXACT = "decimal(18,6)"
+MONEY_TOTAL = "decimal(28,4)"
 
 
 def trimmed(column: str | Column) -> Column:

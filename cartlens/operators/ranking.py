@@ -19,9 +19,13 @@ from cartlens.sources.stage import stage
 MEDIAN_IN_MEMORY_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
+PLAIN_SORT_ROWS = 20_000_000
+CUT_SAMPLE_ROWS = 1_000_000
+
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
-    """`df` with `upto`: the sum of `weight` over the rows of the same group up to this one.
+    """`df` with `upto`, the sum of `weight` over the rows of the same group up to this one, and
+    `overall`, that sum over the whole group.
 
     `group` holds no nulls and (`group`, `order`) identifies a row; nulls in `order` come first.
     """
@@ -31,10 +35,16 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], wei
         df.repartitionByRange(slices, *group, *order).withColumn("slice", F.spark_partition_id()), "running-total"
     )
     earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group and slice: these windows see at most as many rows as there are slices.
     slice_starts = (
         sliced.groupBy(*group, "slice")
         .agg(F.sum(weight).alias("in_slice"))
-        .select(*group, "slice", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)).alias("before_slice"))
+        .select(
+            *group,
+            "slice",
+            F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)).alias("before_slice"),
+            F.sum("in_slice").over(Window.partitionBy(*group)).alias("overall"),
+        )
     )
     within = Window.partitionBy(*group, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -64,21 +74,19 @@ def quantile_buckets(df: DataFrame, measures: Sequence[str], key: str, buckets:
         ),
     ).withColumn("one", F.lit(1))
     ranked = running_total(long, ["measure"], ["value", "tie"], "one")
-    rows = df.agg(F.count(F.lit(1))).scalar()
 
     ends = range(1, buckets)
     cut = F.struct("value", "tie")
-    at_end = {b: F.col("upto") - 1 == F.floor(F.lit(b) * (F.col("rows") - 1) / buckets) for b in ends}
+    at_end = {b: F.col("upto") - 1 == F.floor(F.lit(b) * (F.col("overall") - 1) / buckets) for b in ends}
     any_end = at_end[1]
     for b in ends:
         any_end = any_end | at_end[b]
     # One row holding every cut point: it reaches the plan below as a scalar, not as a join.
     cuts = (
-        ranked.withColumn("rows", rows)
-        .where(any_end)
+        ranked.where(any_end)
         .agg(
             F.struct(
-                F.max("rows").alias("rows"),
+                F.max("overall").alias("rows"),
                 *[
                     F.max(F.when((F.col("measure") == m) & at_end[b], cut)).alias(_cut_name(m, b))
                     for m in measures
@@ -150,21 +158,30 @@ def _bracketed_median(present: DataFrame, value: str, group: list[str]) -> DataF
     return middle.select(*group, median.alias("median"))
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], limit: int, groups: int = 256) -> DataFrame:
-    """The first `limit` rows in `order`, for limits too large for one merge.
+def first_rows(
+    df: DataFrame, order: Sequence[str], limit: int, plain_rows: int = PLAIN_SORT_ROWS, sampled: int = CUT_SAMPLE_ROWS
+) -> DataFrame:
+    """The first `limit` rows by `order` (ascending, nulls last), for limits of many thousand rows.
 
-    A plain sort and limit sends `limit` rows of every task to a single one. Here tasks are merged
-    in groups first, each keeping its own first rows, and only the survivors meet in the final sort.
+    Sort-and-limit sends up to `limit` rows of every task to a single one, too much with very many
+    tasks. Beyond `plain_rows` rows a cut on the first column is therefore taken from a sample; the
+    rows up to it are counted over the whole table, and only if they really are `limit` or more does
+    the sort run on them alone. The sample decides how many rows get sorted, not which ones come out.
     """
-    within = Window.partitionBy("merge_group").orderBy(*order)
-    return (
-        df.withColumn("merge_group", F.spark_partition_id() % groups)
-        .withColumn("place", F.row_number().over(within))
-        .where(F.col("place") <= limit)
-        .drop("merge_group", "place")
-        .orderBy(*order)
-        .limit(limit)
-    )
+    ordered = [F.col(name).asc_nulls_last() for name in order]
+    leading = F.col(order[0])
+    rows = df.count()
+    if rows > plain_rows:
+        fraction = min(1.0, sampled / rows)
+        place = int(2 * limit * fraction) + 10
+        while place < rows * fraction:
+            lowest = df.select(leading).where(leading.isNotNull()).sample(fraction, seed=1).orderBy(leading)
+            if not (cut := lowest.offset(place - 1).first()):
+                break
+            if df.where(leading <= cut[0]).count() >= limit:
+                return df.where(leading <= cut[0]).orderBy(*ordered).limit(limit)
+            place *= 2
+    return df.orderBy(*ordered).limit(limit)
 
 
 def _cut_name(measure: str, bucket: int) -> str:

@@ -98,12 +98,19 @@ def ab_chi_square(w: Warehouse) -> DataFrame:
         F.col("variant_purchases"),
         F.col("variant_sessions") - F.col("variant_purchases"),
     )
+    p_value = F.col("p_value")
     return (
         cells.withColumns(
             {"control_group": F.lit(AB_CONTROL), "variant_group": F.lit(AB_VARIANT), "chi2": statistic}
         )
         .withColumn("p_value", chi_square_p_value("chi2"))
-        .withColumn("significant", F.col("p_value") < SIGNIFICANCE_LEVEL)
+        .withColumns(
+            {
+                "significant": p_value < SIGNIFICANCE_LEVEL,
+                "chi2": round_half_even("chi2", 3),
+                "p_value": round_half_even(p_value, 4),
+            }
+        )
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.functions.columns import EXACT, month_of, trimmed, weekday_name
+from cartlens.functions.columns import EXACT, MONEY, month_of, trimmed, weekday_name
 from cartlens.vocabulary import LOYALTY_TIERS, NO_CAMPAIGN
 
 
@@ -74,7 +74,7 @@ def clean_products(raw: DataFrame) -> DataFrame:
             "product_id": _whole_number(raw, "product_id"),
             "category": trimmed("category"),
             "brand": trimmed("brand"),
-            "base_price": F.col("base_price").try_cast(EXACT),
+            "base_price": F.col("base_price").try_cast(MONEY),
             "launch_date": F.col("launch_date").cast("date"),
             "is_premium": _flag(raw, "is_premium"),
         }
@@ -89,7 +89,7 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
             "product_id": _whole_number_or_null(raw, "product_id"),
             "quantity": _whole_number(raw, "quantity").cast("int"),
             "discount_applied": F.coalesce(F.col("discount_applied").try_cast(EXACT), F.lit(0).cast(EXACT)),
-            "gross_revenue": F.col("gross_revenue").try_cast(EXACT),
+            "gross_revenue": F.col("gross_revenue").try_cast(MONEY),
             "campaign_id": F.coalesce(_whole_number(raw, "campaign_id"), F.lit(NO_CAMPAIGN).cast("bigint")),
             "refund_flag": _flag(raw, "refund_flag"),
         }
@@ -99,7 +99,7 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
             "date": F.to_date("timestamp"),
             "month": month_of("timestamp"),
             "year": F.year("timestamp"),
-            "net_revenue": F.when(F.col("refund_flag"), F.lit(0).cast(EXACT)).otherwise(F.col("gross_revenue")),
+            "net_revenue": F.when(F.col("refund_flag"), F.lit(0).cast(MONEY)).otherwise(F.col("gross_revenue")),
         }
     )
 

@@ -94,11 +94,15 @@ def signup_counts(w: Warehouse) -> DataFrame:
 
 def signup_matrix(w: Warehouse) -> DataFrame:
     """Sign-up month by acquisition channel. A matrix needs its column names before it runs: they are
-    the channels found in the customers, one short list fetched ahead."""
+    the channels found in the customers, a short list fetched ahead. With more channels than Spark
+    takes as columns this is an error; `signup_counts` has no such limit."""
     signups = w.customers.select(month_of("signup_date").alias("signup_month"), "acquisition_channel").where(
         F.col("signup_month").isNotNull() & F.col("acquisition_channel").isNotNull()
     )
-    found = signups.select("acquisition_channel").distinct().orderBy("acquisition_channel").collect()
+    most = int(w.spark.conf.get("spark.sql.pivotMaxValues"))
+    found = signups.select("acquisition_channel").distinct().orderBy("acquisition_channel").take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} acquisition channels: too many for columns")
     channels = [row.acquisition_channel for row in found]
     return count_matrix(signups, "signup_month", "acquisition_channel", channels, channels).orderBy("signup_month")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.columns import (
+    MONEY_TOTAL,
     mean,
     ratio,
     round_half_even,
@@ -26,7 +27,7 @@ def kept() -> Column:
 
 
 def zero_money() -> Column:
-    return F.lit(0).cast("decimal(28,6)")
+    return F.lit(0).cast(MONEY_TOTAL)
 
 
 # --- customer 360 ---------------------------------------------------------------------------

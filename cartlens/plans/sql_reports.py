@@ -61,22 +61,18 @@ def revenue_by_channel(w: Warehouse) -> DataFrame:
 
 
 def top10_campaigns(w: Warehouse) -> DataFrame:
-    described = w.campaigns.select("campaign_id", "channel", "objective", "target_segment", "duration_days")
-    results = w.campaign_performance.where(F.col("net_revenue").isNotNull()).select(
-        "campaign_id",
-        F.col("tx_count").alias("orders"),
-        "net_revenue",
-        "conversion_rate",
-        "bounce_rate",
-        "revenue_per_visitor",
-    )
+    """The mart holds every campaign with its description, so it is not joined with the campaigns again."""
     return (
-        results.join(described, "campaign_id")
+        w.campaign_performance.where(F.col("net_revenue").isNotNull())
         .orderBy(F.desc("net_revenue"), "campaign_id")
         .limit(10)
         .select(
-            *described.columns,
-            "orders",
+            "campaign_id",
+            "channel",
+            "objective",
+            "target_segment",
+            "duration_days",
+            F.col("tx_count").alias("orders"),
             round_half_up("net_revenue", 2).alias("net_revenue"),
             round_half_up("conversion_rate", 4).alias("conversion_rate"),
             round_half_up("bounce_rate", 4).alias("bounce_rate"),
@@ -159,10 +155,9 @@ def acquisition_by_month(w: Warehouse) -> DataFrame:
 
 
 def country_breakdown(w: Warehouse) -> DataFrame:
-    buyers = w.customer_360.where("has_purchased").select("customer_id", "total_revenue", "total_orders")
+    """The mart carries each customer's country, so it is not joined with the customers again."""
     return (
-        w.customers.select("customer_id", "country")
-        .join(buyers, "customer_id")
+        w.customer_360.where("has_purchased")
         .groupBy("country")
         .agg(
             F.countDistinct("customer_id").alias("customers"),
@@ -175,12 +170,9 @@ def country_breakdown(w: Warehouse) -> DataFrame:
 
 
 def top10_products(w: Warehouse) -> DataFrame:
-    described = w.products.select("product_id", "category", "brand", "base_price", "is_premium")
-    results = w.product_performance.where(F.col("total_revenue").isNotNull()).select(
-        "product_id", "units_sold", "total_revenue", "avg_revenue_per_tx", "unique_buyers"
-    )
+    """The mart carries each product's description, so it is not joined with the products again."""
     return (
-        results.join(described, "product_id")
+        w.product_performance.where(F.col("total_revenue").isNotNull())
         .orderBy(F.desc("total_revenue"), "product_id")
         .limit(10)
         .select(
@@ -261,10 +253,16 @@ def cohort_retention(w: Warehouse) -> DataFrame:
     """Customers per sign-up month who bought again 0..11 months later.
 
     Purchases are folded to one row per customer and month before the join, so a customer with very
-    many orders brings at most one row per month into it; the month window is applied on the joined
-    rows, ahead of the distinct count.
+    many orders brings at most one row per month into it. Sign-ups are made unique on the placement
+    the join needs anyway. With both sides unique the joined rows are counted as they are: no distinct
+    count, and only the (cohort, month) totals are shuffled after the join.
     """
-    cohorts = w.customers.select("customer_id", F.trunc("signup_date", "MM").alias("cohort_month"))
+    cohorts = (
+        w.customers.where(F.col("signup_date").isNotNull())
+        .select("customer_id", F.trunc("signup_date", "MM").alias("cohort_month"))
+        .repartition("customer_id")
+        .distinct()
+    )
     purchases = (
         w.transactions.where(~F.col("refund_flag"))
         .select("customer_id", F.trunc("timestamp", "MM").alias("purchase_month"))
@@ -277,8 +275,9 @@ def cohort_retention(w: Warehouse) -> DataFrame:
         cohorts.join(purchases, "customer_id")
         .withColumn("months_since_signup", months)
         .where(F.col("months_since_signup").between(0, COHORT_LAST_MONTH))
-        .groupBy(month_of("cohort_month").alias("cohort"), "months_since_signup")
-        .agg(F.countDistinct("customer_id").alias("customers"))
+        .groupBy("cohort_month", "months_since_signup")
+        .agg(F.count(F.lit(1)).alias("customers"))
+        .select(month_of("cohort_month").alias("cohort"), "months_since_signup", "customers")
         .orderBy("cohort", "months_since_signup")
     )
 

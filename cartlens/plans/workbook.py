@@ -248,8 +248,7 @@ def data_transactions(w: Warehouse) -> DataFrame:
         "gross_revenue", "net_revenue", "campaign_id", "refund_flag", "month", "year",
     ]
     # Ties on the id (should it not be unique) are settled by the other columns.
-    order = [F.col(name).asc_nulls_last() for name in columns]
-    return first_rows(w.transactions.select(columns), order, DATA_SHEET_ROWS)
+    return first_rows(w.transactions.select(columns), columns, DATA_SHEET_ROWS)
 
 
 def data_customers(w: Warehouse) -> DataFrame:

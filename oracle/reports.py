@@ -178,10 +178,33 @@ CUSTOMERS = {
     "cust_country_top10": TOP_COUNTRIES,
 }
 
-CHI = ratio(
-    "(cp + cn + vp + vn) * (abs(cp * vn - cn * vp) - least((cp + cn + vp + vn) / 2, abs(cp * vn - cn * vp))) ** 2",
-    "(cp + cn) * (vp + vn) * (cp + vp) * (cn + vn)",
+# Cells: control and variant, sessions with a purchase and without one.
+CELLS = """
+    cells AS (SELECT max(purchases) FILTER (WHERE experiment_group = 'Control') AS cp,
+                     max(sessions - purchases) FILTER (WHERE experiment_group = 'Control') AS cn,
+                     max(purchases) FILTER (WHERE experiment_group = 'Variant_A') AS vp,
+                     max(sessions - purchases) FILTER (WHERE experiment_group = 'Variant_A') AS vn
+              FROM ab)"""
+# Sum over the four cells of (|observed - expected| - correction)^2 / expected.
+EXPECTED = [("cp", "cp + cn", "cp + vp"), ("cn", "cp + cn", "cn + vn"),
+            ("vp", "vp + vn", "cp + vp"), ("vn", "vp + vn", "cn + vn")]
+CHI2 = " + ".join(
+    "(abs({o} - {e}) - least(0.5, abs({o} - {e}))) ** 2 / {e}".format(o=o, e=f"(({r}) * ({c}) / total)")
+    for o, r, c in EXPECTED
 )
+# Upper tail 1 - erf(x) with x = sqrt(chi2 / 2), by the power series of erf.
+P_VALUE = """CASE WHEN chi2 > 32 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * (
+    SELECT sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * sqrt(chi2 / 2) ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))
+    FROM generate_series(0, 90) g(k)) END"""
+CHI_TEST = _with("clicks", f"""
+    ab AS ({AB}), {CELLS},
+    counted AS (SELECT *, CAST(cp + cn + vp + vn AS DOUBLE) AS total FROM cells),
+    stat AS (SELECT *, CASE WHEN least(cp, cn, vp, vn) >= 0 THEN {CHI2} END AS chi2 FROM counted),
+    tested AS (SELECT *, {P_VALUE} AS p FROM stat)""", f"""
+    SELECT cp AS control_purchases, cp + cn AS control_sessions, vp AS variant_purchases,
+           vp + vn AS variant_sessions, 'Control' AS control_group, 'Variant_A' AS variant_group,
+           {half_even("chi2", 3)} AS chi2, {half_even("p", 4)} AS p_value, p < 0.05 AS significant
+    FROM tested""")
 CAMPAIGNS = {
     "camp_channel_summary": over("perf", f"""
         SELECT channel, count(campaign_id) AS campaigns, {half_even(NET, 4)} AS total_revenue,
@@ -197,6 +220,7 @@ CAMPAIGNS = {
                {half_even("avg(expected_uplift)", 4)} AS avg_expected_uplift
         FROM perf GROUP BY objective ORDER BY avg_revenue DESC"""),
     "ab_summary": over("clicks", AB + " ORDER BY experiment_group"),
+    "ab_chi2": CHI_TEST,
     "camp_uplift": over("perf", """
         SELECT campaign_id, channel, CAST(net_revenue AS DOUBLE) AS net_revenue, expected_uplift,
                roi AS actual_uplift_proxy
