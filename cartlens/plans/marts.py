@@ -16,7 +16,14 @@ from cartlens.functions.columns import (
     segment_of,
     whole_days,
 )
-from cartlens.operators.grouping import Additive, adding, counting, counting_values, group_with_distincts
+from cartlens.operators.grouping import (
+    Additive,
+    adding,
+    counting,
+    counting_values,
+    group_with_distincts,
+    group_with_one_distinct,
+)
 from cartlens.operators.ranking import exact_median, quantile_buckets
 from cartlens.sources.stage import stage
 from cartlens.vocabulary import FUNNEL_STAGES, RFM_BUCKETS
@@ -78,7 +85,8 @@ def recency_lifetime(purchases: DataFrame) -> DataFrame:
 
 
 def rfm_scores(dated: DataFrame) -> DataFrame:
-    """Adds r, f and m scores (1..5, 5 best) and their sum. `dated` should be staged."""
+    """Adds r, f and m scores (1..5, 5 best) and their sum. `dated` should be a cheap view of a staged
+    table: it is read twice."""
     measures = ["recency_days", "total_orders", "total_revenue"]
     bucketed = quantile_buckets(dated, measures, "customer_id", RFM_BUCKETS)
     return (
@@ -91,7 +99,7 @@ def rfm_scores(dated: DataFrame) -> DataFrame:
 
 def scored_customers(transactions: DataFrame) -> DataFrame:
     purchases = stage(customer_purchases(transactions), "customer-purchases")
-    scored = rfm_scores(stage(recency_lifetime(purchases), "customer-recency"))
+    scored = rfm_scores(recency_lifetime(purchases))
     return scored.withColumn("rfm_segment", segment_of("rfm_score"))
 
 
@@ -150,37 +158,35 @@ def customer_360(customers: DataFrame, transactions: DataFrame, events: DataFram
 
 
 def campaign_tx_agg(transactions: DataFrame) -> DataFrame:
-    """All transactions per campaign, refunds included.
-
-    The one distinct count makes Spark fold by (campaign, customer) first, which also breaks up the
-    rows of the "no campaign" value.
-    """
-    return (
-        transactions.where(F.col("campaign_id").isNotNull())
-        .groupBy("campaign_id")
-        .agg(
+    """All transactions per campaign, refunds included."""
+    return group_with_one_distinct(
+        transactions,
+        "campaign_id",
+        [
             F.count("transaction_id").alias("tx_count"),
             F.coalesce(F.sum("gross_revenue"), zero_money()).alias("gross_revenue"),
             F.coalesce(F.sum("net_revenue"), zero_money()).alias("net_revenue"),
             F.count_if("refund_flag").alias("refunds"),
             mean("discount_applied").alias("avg_discount"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-        )
+        ],
+        "unique_customers",
+        "customer_id",
     )
 
 
 def campaign_event_agg(events: DataFrame) -> DataFrame:
-    return (
-        events.where(F.col("campaign_id").isNotNull())
-        .groupBy("campaign_id")
-        .agg(
+    return group_with_one_distinct(
+        events,
+        "campaign_id",
+        [
             F.count("event_id").alias("impressions"),
-            F.countDistinct("customer_id").alias("unique_visitors"),
             F.count_if(F.col("event_type") == "purchase").alias("purchases"),
             F.count_if(F.col("event_type") == "bounce").alias("bounces"),
             F.count_if(F.col("event_type") == "add_to_cart").alias("add_to_carts"),
             mean("session_duration_sec").alias("avg_session_sec"),
-        )
+        ],
+        "unique_visitors",
+        "customer_id",
     )
 
 
@@ -243,17 +249,18 @@ def funnel(events: DataFrame) -> DataFrame:
 
 
 def product_tx_agg(transactions: DataFrame) -> DataFrame:
-    return (
-        transactions.where(kept() & F.col("product_id").isNotNull())
-        .groupBy("product_id")
-        .agg(
+    return group_with_one_distinct(
+        transactions.where(kept()),
+        "product_id",
+        [
             F.coalesce(F.sum("quantity"), F.lit(0)).alias("units_sold"),
             F.coalesce(F.sum("net_revenue"), zero_money()).alias("total_revenue"),
             mean("net_revenue").alias("avg_revenue_per_tx"),
             F.count("transaction_id").alias("order_count"),
-            F.countDistinct("customer_id").alias("unique_buyers"),
             mean("discount_applied").alias("discount_rate"),
-        )
+        ],
+        "unique_buyers",
+        "customer_id",
     )
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,11 +108,24 @@ def build_warehouse(
     """Rebuild everything: raw tables (a folder of CSV files, or frames) -> cleaned tables -> marts.
 
     The marts read the cleaned tables back from where they were written, so each fact is parsed once.
+    Tables, and then marts, do not depend on each other: their jobs are submitted side by side, and
+    the small ones fill the gaps the large ones leave on the cluster.
     """
     raw = scan_all_csv(spark, source) if isinstance(source, str) else source
-    for name, df in clean_all(raw).items():
-        write_table(df, root, name, partition_by.get(name))
+    side_by_side(
+        [partial(write_table, df, root, name, partition_by.get(name)) for name, df in clean_all(raw).items()]
+    )
     warehouse = open_warehouse(spark, root)
-    for name, (builder, inputs) in MARTS.items():
-        write_mart(builder(*[getattr(warehouse, table) for table in inputs]), root, name)
+
+    def build_mart(name: str) -> None:
+        builder, inputs = MARTS[name]
+        write_mart(builder(*[scan_table(spark, root, table) for table in inputs]), root, name)
+
+    side_by_side([partial(build_mart, name) for name in MARTS])
     return warehouse
+
+
+def side_by_side(jobs: list[Callable[[], object]]) -> list[object]:
+    """Run the jobs from threads of their own; the first error is raised once all have ended."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [job.result() for job in [pool.submit(job) for job in jobs]]
