@@ -14,6 +14,11 @@ EXACT = "decimal(18,6)"
 MONEY_TOTAL = "decimal(28,4)"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def trimmed(column: str | Column) -> Column:
     """The text without white space of any kind at either end."""
     return F.trim(_col(column), F.lit(WHITESPACE))

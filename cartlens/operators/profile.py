@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.functions.columns import named
+
 
 def null_counts(df: DataFrame, table_name: str) -> DataFrame:
     """One row per column: table_name, row_count, column_name, column_type, null_count.
@@ -19,7 +21,7 @@ def null_counts(df: DataFrame, table_name: str) -> DataFrame:
                 F.struct(
                     F.lit(name).alias("column_name"),
                     F.lit(kind).alias("column_type"),
-                    F.count_if(F.col(f"`{name}`").isNull()).alias("null_count"),
+                    F.count_if(named(name).isNull()).alias("null_count"),
                 )
                 for name, kind in df.dtypes
             ]

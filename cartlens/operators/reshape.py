@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.functions.columns import named
+
 
 def spine(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """The given values in order as a table (`column`, `position`), made inside the plan."""
@@ -30,5 +32,5 @@ def count_matrix(df: DataFrame, row: str, column: str, values: list, names: list
     """Rows of `df` per `row` value, one zero-filled count column per value of `column`."""
     matrix = df.groupBy(row).pivot(column, values).count()
     return matrix.select(
-        row, *[F.coalesce(f"`{value}`", F.lit(0)).alias(name) for value, name in zip(values, names, strict=True)]
+        row, *[F.coalesce(named(str(value)), F.lit(0)).alias(name) for value, name in zip(values, names, strict=True)]
     )

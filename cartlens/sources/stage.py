@@ -29,10 +29,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+    """The session's checkpoint folder; only a local session may go without one."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="cartlens-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cartlens-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
