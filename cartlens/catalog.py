@@ -23,7 +23,7 @@ from cartlens.plans import (
 )
 from cartlens.plans.clean import clean_transactions
 from cartlens.plans.warehouse import Warehouse, build_warehouse
-from cartlens.sources.csv import scan_csv, write_csv, write_star
+from cartlens.sources.csv import scan_csv, write_all_csv, write_csv
 from cartlens.sources.schemas import RAW_COLUMNS
 from cartlens.sources.stage import new_folder, stage
 from cartlens.sources.tables import MART_PREFIX, scan_table, write_mart, write_table
@@ -73,7 +73,7 @@ def loaded_counts(w: Warehouse) -> DataFrame:
 
 def star_csv_counts(w: Warehouse) -> DataFrame:
     """The nine exports written as CSV; rows and columns of what is read back."""
-    paths = write_star(star.exports(w), new_folder(w.spark, "star"))
+    paths = write_all_csv(star.exports(w), new_folder(w.spark, "star"))
     return table_sizes({name: w.spark.read.option("header", True).csv(path) for name, path in paths.items()})
 
 

@@ -28,7 +28,7 @@ from cartlens.plans.campaigns import ab_counts, with_revenue
 from cartlens.plans.customers import acquisition_performance, buyers_by, segmented
 from cartlens.plans.revenue import by_month, top_products
 from cartlens.plans.warehouse import Warehouse
-from cartlens.sources.csv import write_csv
+from cartlens.sources.csv import write_all_csv
 from cartlens.vocabulary import DATA_SHEET_ROWS, LOWEST_SEGMENT, NO_CAMPAIGN, SEGMENTS
 
 
@@ -293,10 +293,7 @@ SECTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
 
 def write_report_tables(w: Warehouse, folder: str) -> dict[str, str]:
     """Every section as CSV with sheet headers below `folder`; the path of each by name."""
-    paths = {name: f"{folder.rstrip('/')}/{name}" for name in SECTIONS}
-    for name, section in SECTIONS.items():
-        write_csv(titled(section(w)), paths[name])
-    return paths
+    return write_all_csv({name: titled(section(w)) for name, section in SECTIONS.items()}, folder)
 
 
 REPORTS = {

@@ -55,8 +55,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def write_star(exports: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Write every export as CSV below `folder`; the path of each by name."""
+def write_all_csv(exports: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Write every frame as CSV below `folder`; the path of each by name."""
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in exports}
     for name, df in exports.items():
         write_csv(df, paths[name])

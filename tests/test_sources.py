@@ -125,7 +125,7 @@ def test_full_build_from_csv_equals_the_build_from_frames(spark, tmp_path, small
 
 
 def test_star_export_reads_back(spark, tmp_path, small_warehouse):
-    paths = csv.write_star(star.exports(small_warehouse), str(tmp_path))
+    paths = csv.write_all_csv(star.exports(small_warehouse), str(tmp_path))
     assert len(paths) == 9
     fact = spark.read.option("header", True).csv(paths["fact_transactions"])
     assert fact.count() == small_warehouse.transactions.count()
