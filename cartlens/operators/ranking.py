@@ -29,11 +29,9 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], wei
 
     `group` holds no nulls and (`group`, `order`) identifies a row; nulls in `order` come first.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The slice number must be the same for both readers below, so it is written down with the row.
-    sliced = stage(
-        df.repartitionByRange(slices, *group, *order).withColumn("slice", F.spark_partition_id()), "running-total"
-    )
+    # Without a fixed number of slices the adaptive planner merges neighbouring small ones.
+    sliced = stage(df.repartitionByRange(*group, *order).withColumn("slice", F.spark_partition_id()), "running-total")
     earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per group and slice: these windows see at most as many rows as there are slices.
     slice_starts = (

@@ -175,7 +175,6 @@ def fact_figures(w: Warehouse) -> DataFrame:
         w.transactions.agg(
             total("net_revenue").alias("net_revenue"),
             F.count(F.lit(1)).alias("orders"),
-            F.countDistinct("customer_id").alias("buyers"),
             mean("net_revenue").alias("aov"),
             ratio(F.count_if("refund_flag"), F.count("refund_flag")).alias("refund_rate"),
             F.min("year").alias("first_year"),
@@ -185,6 +184,7 @@ def fact_figures(w: Warehouse) -> DataFrame:
             {
                 "segments": segments.scalar(),
                 "catalogue": catalogue.scalar(),
+                "buyers": rows(w.transactions.select("customer_id").where(F.col("customer_id").isNotNull()).distinct()),
                 "customers": rows(w.customers),
                 "campaigns": rows(w.campaigns),
                 "events": rows(w.events),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlens.functions.columns import named
 from cartlens.sources.schemas import RAW_COLUMNS, text_schema
 from cartlens.vocabulary import NULL_TOKENS
 
@@ -41,10 +42,16 @@ def scan_all_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def write_csv(df: DataFrame, path: str) -> None:
     """One folder of headered part files; doubled quotes, as spreadsheet and BI tools expect.
 
-    A timestamp is written with its full time and a null as an empty field.
+    A timestamp is written with its full time, a number in plain notation and a null as an empty field.
     """
+    fractional = (T.DoubleType, T.FloatType, T.DecimalType)
+    plain = [
+        _plain_number(field.name) if isinstance(field.dataType, fractional) else named(field.name)
+        for field in df.schema
+    ]
     (
-        df.write.mode("overwrite")
+        df.select(plain)
+        .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
@@ -68,6 +75,11 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).columns
 
 
+def _plain_number(name: str) -> Column:
+    """12345678.9 rather than 1.23456789E7 or 12345678.9000."""
+    return F.call_function("format_number", named(name), F.lit("0." + "#" * 18)).alias(name)
+
+
 def _null_token_free(name: str):
     column = F.col(name)
     return F.when(~column.isin(NULL_TOKENS), column).cast(T.StringType()).alias(name)

@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartlens.catalog import CATALOG
 from cartlens.plans import marts
+from cartlens.sources.stage import stage
+from tests.fixtures import fixed_warehouse
 
 # Windows over a handful of already grouped rows: segments, premium flags, experiment groups.
 SMALL_WINDOWS = {"cust_segment_share", "png_premium_share", "png_ab_conversion"}
@@ -72,6 +75,33 @@ def test_customer_360_moves_each_input_once(small_warehouse):
     assert main.count("SortMergeJoin") == 2
 
 
+def test_a_hot_campaign_is_split(spark):
+    """One campaign with half of all rows, campaigns too many to broadcast: the join splits it."""
+    count = 200_000
+    tx = spark.range(0, count, 1, 8).select(
+        F.concat(F.lit("t"), F.col("id")).alias("transaction_id"), (F.col("id") % 5000).alias("customer_id"),
+        F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 900 + 2).alias("campaign_id"),
+        F.lit(1).cast("decimal(18,4)").alias("net_revenue"), F.lit(False).alias("refund_flag"))
+    campaigns = spark.range(1, 1000).select(F.col("id").alias("campaign_id"), F.lit("Email").alias("channel"))
+    w = fixed_warehouse(spark, transactions=stage(tx, "test"), campaigns=stage(campaigns, "test"))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, setting in settings.items():
+            spark.conf.set(key, setting)
+        df = CATALOG["q02_revenue_by_channel"](w)
+        assert [tuple(row) for row in df.collect()] == [("Email", count, 5000, float(count), 1.0, 0)]
+        assert "skew" in plan_of(df)
+    finally:
+        for key, setting in before.items():
+            spark.conf.set(key, setting)
+
+
 def test_cohort_counts_need_no_distinct_shuffle(small_warehouse):
     plan = plan_of(CATALOG["q16_cohort_retention"](small_warehouse))
     assert not re.search(r"Exchange hashpartitioning\(cohort_month#\d+, months_since_signup#\d+, customer_id", plan)

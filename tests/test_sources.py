@@ -44,6 +44,14 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", ' a "q", b '), ("2", None)]
 
 
+def test_numbers_are_written_plainly(spark, tmp_path):
+    frame = spark.sql("SELECT 12345678.9D AS a, CAST(5 AS DOUBLE) AS b, CAST(1.5 AS DECIMAL(18,4)) AS c, "
+                      "CAST(NULL AS DOUBLE) AS d, -0.00012D AS e, 7 AS f")
+    csv.write_csv(frame, str(tmp_path / "out"))
+    row = spark.read.option("header", True).csv(str(tmp_path / "out")).first()
+    assert tuple(row) == ("12345678.9", "5", "1.5", None, "-0.00012", "7")
+
+
 def test_partitioned_table(spark, tmp_path):
     frame = spark.range(100).select("id", F.concat(F.lit("2024-0"), F.col("id") % 3 + 1).alias("month"))
     path = tables.write_table(frame, str(tmp_path), "t", "month")
