@@ -57,7 +57,7 @@ def quantile_buckets(df: DataFrame, measures: Sequence[str], key: str, buckets:
 
     Ranks are taken over (measure, key), so ties go to the smaller key. Bucket b ends at rank
     1 + floor(b * (n - 1) / buckets). Null when there are fewer than two rows, where equal-sized
-    buckets are not defined. `df` should be staged: it is read once for the cuts and once more.
+    buckets are not defined. `df` should be a staged table or a cheap view of one: it is read twice.
 
     Only the rows at the bucket ends are looked up; every row is then compared with those few cut
     points, so the table itself is neither sorted nor shuffled for its scores.
@@ -75,7 +75,10 @@ def quantile_buckets(df: DataFrame, measures: Sequence[str], key: str, buckets:
 
     ends = range(1, buckets)
     cut = F.struct("value", "tie")
-    at_end = {b: F.col("upto") - 1 == F.floor(F.lit(b) * (F.col("overall") - 1) / buckets) for b in ends}
+    # upto - 1 == floor(b * (overall - 1) / buckets), in whole numbers.
+    at_end = {
+        b: (b * (F.col("overall") - 1) - buckets * (F.col("upto") - 1)).between(0, buckets - 1) for b in ends
+    }
     any_end = at_end[1]
     for b in ends:
         any_end = any_end | at_end[b]
