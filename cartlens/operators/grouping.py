@@ -1,67 +1,46 @@
-"""Group-by with distinct counts, safe for hot keys."""
+"""Group-by with exact distinct counts, safe for hot keys."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Additive:
-    """An aggregate that can be summed again: `partial` per finer group, then the sum of those."""
-
-    name: str
-    partial: Column
-    empty_is_zero: bool = True
-
-
-def counting(name: str, condition: Column | None = None) -> Additive:
-    return Additive(name, F.count(F.lit(1)) if condition is None else F.count_if(condition))
-
-
-def counting_values(name: str, column: str) -> Additive:
-    return Additive(name, F.count(column))
-
-
-def adding(name: str, column: str | Column) -> Additive:
-    return Additive(name, F.sum(column), empty_is_zero=False)
-
-
-def group_with_one_distinct(
-    df: DataFrame, key: str, aggregates: list[Column], name: str, counted: str
-) -> DataFrame:
-    """Per `key` (nulls dropped): `aggregates`, and the distinct `counted` values as `name`.
-
-    In one aggregate the distinct count would drag every partial sum through the shuffle of the
-    (key, value) pairs, of which there can be nearly as many as rows. Apart, the sums are combined
-    before their shuffle and the pairs travel alone; both results are placed by `key`, so joining them
-    moves nothing. The price is a second scan, of two columns.
-    """
-    present = df.where(F.col(key).isNotNull())
-    totals = present.groupBy(key).agg(*aggregates)
-    pairs = present.where(F.col(counted).isNotNull()).select(key, counted).distinct()
-    distinct_values = pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return totals.join(distinct_values, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-
-
 def group_with_distincts(
-    df: DataFrame, keys: list[str], distincts: dict[str, str], additives: list[Additive]
+    df: DataFrame,
+    keys: list[str],
+    aggregates: list[Column],
+    distincts: dict[str, str],
+    keep_null_keys: bool = False,
 ) -> DataFrame:
-    """Per `keys`: distinct counts `{output: column}` beside additive aggregates.
+    """Per `keys`: `aggregates`, and for each `{output: column}` the number of distinct values.
+
+    In one aggregate, a distinct count drags every partial sum through the shuffle of the (key, value)
+    pairs, of which there can be nearly as many as rows, and several of them repeat every input row
+    once per count. Apart, the sums are combined before their small shuffle and the bare pairs travel
+    alone, spread by key and value, so a key that owns a third of the rows is no burden to one task.
+    The price is one more scan per count, of the key and value columns only.
 
-    Several distinct counts in one aggregate make Spark repeat every input row once per count. Here
-    the rows are first folded to one per (keys, counted columns), combined before the shuffle, which
-    also spreads a key that owns a large share of the rows over many tasks; the repetition then
-    touches only the folded rows. Worth it when many rows share the counted values (events of a
-    session); for nearly unique values a plain aggregate is the better plan.
+    Null keys are dropped unless `keep_null_keys`. Without them each result is placed by the keys and
+    the joins move nothing; with them use few distinct keys.
     """
-    counted = list(dict.fromkeys(distincts.values()))
-    folded = df.groupBy(*keys, *counted).agg(*[a.partial.alias(a.name) for a in additives])
-    sums = [
-        (F.coalesce(F.sum(a.name), F.lit(0)) if a.empty_is_zero else F.sum(a.name)).alias(a.name) for a in additives
-    ]
-    return folded.groupBy(*keys).agg(
-        *[F.countDistinct(column).alias(name) for name, column in distincts.items()], *sums
-    )
+    if not keep_null_keys:
+        df = df.dropna(subset=keys)
+    result = df.groupBy(*keys).agg(*aggregates)
+    for name, column in distincts.items():
+        pairs = df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+        counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        if keep_null_keys:
+            result = _join_null_safe(result, counted, keys)
+        else:
+            result = result.join(counted, keys, "left")
+        result = result.withColumn(name, F.coalesce(name, F.lit(0)))
+    return result
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({key: f"right_{key}" for key in keys})
+    matches = F.lit(True)
+    for key in keys:
+        matches = matches & F.col(key).eqNullSafe(F.col(f"right_{key}"))
+    return left.join(renamed, matches, "left").drop(*[f"right_{key}" for key in keys])

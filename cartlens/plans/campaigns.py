@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cartlens.functions.columns import mean, mean_rate, ratio, round_half_even, total_or_zero
 from cartlens.functions.stats import chi_square_2x2, chi_square_p_value
-from cartlens.operators.grouping import counting, group_with_distincts
-from cartlens.plans.marts import against_median, mean_duration, mean_duration_parts
+from cartlens.operators.grouping import group_with_distincts
+from cartlens.plans.marts import against_median
 from cartlens.plans.warehouse import Warehouse
 from cartlens.vocabulary import AB_CONTROL, AB_VARIANT, SIGNIFICANCE_LEVEL
 
@@ -53,25 +53,20 @@ def objective_summary(w: Warehouse) -> DataFrame:
 
 def ab_counts(events: DataFrame) -> DataFrame:
     """Sessions, users, purchases, bounces and mean duration per experiment group."""
-    folded = group_with_distincts(
-        events.where(F.col("experiment_group").isNotNull()),
-        keys=["experiment_group"],
-        distincts={"sessions": "session_id", "users": "customer_id"},
-        additives=[
-            counting("purchases", F.col("event_type") == "purchase"),
-            counting("bounces", F.col("event_type") == "bounce"),
-            *mean_duration_parts(),
+    return group_with_distincts(
+        events,
+        ["experiment_group"],
+        [
+            F.count_if(F.col("event_type") == "purchase").alias("purchases"),
+            F.count_if(F.col("event_type") == "bounce").alias("bounces"),
+            mean("session_duration_sec").alias("avg_session_sec"),
         ],
-    )
-    return folded.select(
-        "experiment_group",
-        "sessions",
-        "users",
-        "purchases",
-        "bounces",
-        mean_duration().alias("avg_session_sec"),
-        round_half_even(ratio("purchases", "sessions"), 4).alias("conversion_rate"),
-        round_half_even(ratio("bounces", "sessions"), 4).alias("bounce_rate"),
+        {"sessions": "session_id", "users": "customer_id"},
+    ).withColumns(
+        {
+            "conversion_rate": round_half_even(ratio("purchases", "sessions"), 4),
+            "bounce_rate": round_half_even(ratio("bounces", "sessions"), 4),
+        }
     )
 
 

@@ -16,14 +16,7 @@ from cartlens.functions.columns import (
     segment_of,
     whole_days,
 )
-from cartlens.operators.grouping import (
-    Additive,
-    adding,
-    counting,
-    counting_values,
-    group_with_distincts,
-    group_with_one_distinct,
-)
+from cartlens.operators.grouping import group_with_distincts
 from cartlens.operators.ranking import exact_median, quantile_buckets
 from cartlens.sources.stage import stage
 from cartlens.vocabulary import FUNNEL_STAGES, RFM_BUCKETS
@@ -104,39 +97,17 @@ def scored_customers(transactions: DataFrame) -> DataFrame:
 
 
 def customer_event_agg(events: DataFrame) -> DataFrame:
-    folded = group_with_distincts(
-        events.where(F.col("customer_id").isNotNull()),
-        keys=["customer_id"],
-        distincts={"total_sessions": "session_id", "devices_used": "device_type"},
-        additives=[
-            counting_values("total_events", "event_id"),
-            counting("purchase_events", F.col("event_type") == "purchase"),
-            counting("bounce_events", F.col("event_type") == "bounce"),
-            *mean_duration_parts(),
+    return group_with_distincts(
+        events,
+        ["customer_id"],
+        [
+            F.count("event_id").alias("total_events"),
+            F.count_if(F.col("event_type") == "purchase").alias("purchase_events"),
+            F.count_if(F.col("event_type") == "bounce").alias("bounce_events"),
+            mean("session_duration_sec").alias("avg_session_duration"),
         ],
-    )
-    return folded.select(
-        "customer_id",
-        "total_events",
-        "total_sessions",
-        "purchase_events",
-        "bounce_events",
-        mean_duration().alias("avg_session_duration"),
-        "devices_used",
-        round_half_even(ratio("purchase_events", "total_sessions"), 4).alias("conversion_rate"),
-    )
-
-
-def mean_duration_parts() -> list[Additive]:
-    """A mean over two grouping steps: total and number of values travel separately."""
-    return [
-        adding("duration_total", "session_duration_sec"),
-        counting_values("duration_values", "session_duration_sec"),
-    ]
-
-
-def mean_duration() -> Column:
-    return ratio("duration_total", "duration_values")
+        {"total_sessions": "session_id", "devices_used": "device_type"},
+    ).withColumn("conversion_rate", round_half_even(ratio("purchase_events", "total_sessions"), 4))
 
 
 def customer_360(customers: DataFrame, transactions: DataFrame, events: DataFrame) -> DataFrame:
@@ -159,9 +130,9 @@ def customer_360(customers: DataFrame, transactions: DataFrame, events: DataFram
 
 def campaign_tx_agg(transactions: DataFrame) -> DataFrame:
     """All transactions per campaign, refunds included."""
-    return group_with_one_distinct(
+    return group_with_distincts(
         transactions,
-        "campaign_id",
+        ["campaign_id"],
         [
             F.count("transaction_id").alias("tx_count"),
             F.coalesce(F.sum("gross_revenue"), zero_money()).alias("gross_revenue"),
@@ -169,15 +140,14 @@ def campaign_tx_agg(transactions: DataFrame) -> DataFrame:
             F.count_if("refund_flag").alias("refunds"),
             mean("discount_applied").alias("avg_discount"),
         ],
-        "unique_customers",
-        "customer_id",
+        {"unique_customers": "customer_id"},
     )
 
 
 def campaign_event_agg(events: DataFrame) -> DataFrame:
-    return group_with_one_distinct(
+    return group_with_distincts(
         events,
-        "campaign_id",
+        ["campaign_id"],
         [
             F.count("event_id").alias("impressions"),
             F.count_if(F.col("event_type") == "purchase").alias("purchases"),
@@ -185,8 +155,7 @@ def campaign_event_agg(events: DataFrame) -> DataFrame:
             F.count_if(F.col("event_type") == "add_to_cart").alias("add_to_carts"),
             mean("session_duration_sec").alias("avg_session_sec"),
         ],
-        "unique_visitors",
-        "customer_id",
+        {"unique_visitors": "customer_id"},
     )
 
 
@@ -249,9 +218,9 @@ def funnel(events: DataFrame) -> DataFrame:
 
 
 def product_tx_agg(transactions: DataFrame) -> DataFrame:
-    return group_with_one_distinct(
+    return group_with_distincts(
         transactions.where(kept()),
-        "product_id",
+        ["product_id"],
         [
             F.coalesce(F.sum("quantity"), F.lit(0)).alias("units_sold"),
             F.coalesce(F.sum("net_revenue"), zero_money()).alias("total_revenue"),
@@ -259,8 +228,7 @@ def product_tx_agg(transactions: DataFrame) -> DataFrame:
             F.count("transaction_id").alias("order_count"),
             mean("discount_applied").alias("discount_rate"),
         ],
-        "unique_buyers",
-        "customer_id",
+        {"unique_buyers": "customer_id"},
     )
 
 

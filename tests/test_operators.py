@@ -134,35 +134,25 @@ def sample_events():
     ]
 
 
-def test_group_with_distincts(spark):
-    data = sample_events()
+@pytest.mark.parametrize("keep_null_keys", [True, False])
+def test_group_with_distincts(spark, keep_null_keys):
+    data = sample_events() + [("no values", None, None, None)]
     df = spark.createDataFrame(data, "k string, s int, d string, v int")
     result = grouping.group_with_distincts(
-        df, ["k"], {"sessions": "s", "devices": "d"},
-        [grouping.counting("n"), grouping.counting("big", F.col("v") > 2), grouping.adding("total", "v"),
-         grouping.counting_values("values", "v")],
+        df, ["k"], [F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")],
+        {"sessions": "s", "devices": "d"}, keep_null_keys,
     )
     groups = defaultdict(list)
     for row in data:
-        groups[row[0]].append(row)
+        if row[0] is not None or keep_null_keys:
+            groups[row[0]].append(row)
     expected = {
-        k: (len({r[1] for r in g} - {None}), len({r[2] for r in g} - {None}), len(g),
-            sum((r[3] or 0) > 2 for r in g), sum(r[3] or 0 for r in g), sum(r[3] is not None for r in g))
+        k: (len(g), sum(r[3] or 0 for r in g) if any(r[3] for r in g) else None,
+            len({r[1] for r in g} - {None}), len({r[2] for r in g} - {None}))
         for k, g in groups.items()
     }
-    assert {r.k: (r.sessions, r.devices, r.n, r.big, r.total, r["values"]) for r in result.collect()} == expected
-
-
-def test_group_with_one_distinct(spark):
-    data = sample_events() + [("no values", None, None, 1)]
-    df = spark.createDataFrame(data, "k string, s int, d string, v int")
-    result = grouping.group_with_one_distinct(df, "k", [F.count(F.lit(1)).alias("n")], "sessions", "s")
-    groups = defaultdict(list)
-    for row in data:
-        groups[row[0]].append(row)
-    assert {r.k: (r.n, r.sessions) for r in result.collect()} == {
-        k: (len(g), len({r[1] for r in g} - {None})) for k, g in groups.items() if k is not None
-    }
+    assert result.columns == ["k", "n", "total", "sessions", "devices"]
+    assert {r.k: tuple(r)[1:] for r in result.collect()} == expected
 
 
 # --- histograms, matrices, spines, profiles ----------------------------------------------------
