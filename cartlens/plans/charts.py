@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.columns import (
@@ -25,25 +27,33 @@ from cartlens.plans.workbook import fact_figures, long_figures
 from cartlens.vocabulary import FUNNEL_LABELS, FUNNEL_STAGES, LOYALTY_TIERS, SEGMENTS
 
 
+def whole_number(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def year_span() -> Column:
+    return F.concat(F.col("first_year").cast("string"), F.lit(" – "), F.col("last_year").cast("string"))
+
+
+# The cards of the summary chart, in order.
+KPI_CARDS = [
+    ("Net Revenue", "net_revenue", dollars),
+    ("Total Orders", "orders", grouped_digits),
+    ("Unique Buyers", "buyers", grouped_digits),
+    ("Avg Order Value", "aov", partial(dollars, digits=2)),
+    ("Refund Rate", "refund_rate", percent_text),
+    ("Campaigns", "campaigns", whole_number),
+    ("Products", "products", grouped_digits),
+    ("Total Customers", "customers", grouped_digits),
+    ("Champions (RFM)", "champions", grouped_digits),
+    ("Avg Conversion", "conversion", percent_text),
+    ("Premium Products", "premium", grouped_digits),
+    ("Data Span", None, year_span),
+]
+
+
 def kpi_cards(w: Warehouse) -> DataFrame:
-    span = F.concat(F.col("first_year").cast("string"), F.lit(" – "), F.col("last_year").cast("string"))
-    return long_figures(
-        fact_figures(w),
-        [
-            ("Net Revenue", "net_revenue", dollars("net_revenue")),
-            ("Total Orders", "orders", grouped_digits("orders")),
-            ("Unique Buyers", "buyers", grouped_digits("buyers")),
-            ("Avg Order Value", "aov", dollars("aov", 2)),
-            ("Refund Rate", "refund_rate", percent_text("refund_rate")),
-            ("Campaigns", "campaigns", F.col("campaigns").cast("string")),
-            ("Products", "products", grouped_digits("products")),
-            ("Total Customers", "customers", grouped_digits("customers")),
-            ("Champions (RFM)", "champions", grouped_digits("champions")),
-            ("Avg Conversion", "conversion", percent_text("conversion")),
-            ("Premium Products", "premium", grouped_digits("premium")),
-            ("Data Span", None, span),
-        ],
-    )
+    return long_figures(fact_figures(w), KPI_CARDS)
 
 
 def monthly(w: Warehouse) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.columns import ratio, round_half_even, tier_rank, total_or_zero
+from cartlens.functions.columns import ratio, round_half_even, total_or_zero
 from cartlens.operators.histogram import histogram
 from cartlens.operators.profile import profile_all, table_sizes
+from cartlens.operators.reshape import along_spine
 from cartlens.plans.warehouse import Warehouse
-from cartlens.vocabulary import AGE_BINS, REVENUE_BINS, REVENUE_CEILING, REVENUE_FLOOR
+from cartlens.vocabulary import AGE_BINS, LOYALTY_TIERS, REVENUE_BINS, REVENUE_CEILING, REVENUE_FLOOR
 
 
 def sizes(w: Warehouse) -> DataFrame:
@@ -31,7 +32,9 @@ def age_histogram(w: Warehouse) -> DataFrame:
 
 
 def tier_counts(w: Warehouse) -> DataFrame:
-    return _value_counts(w.customers, "loyalty_tier").orderBy(tier_rank("loyalty_tier"))
+    """All four tiers in order, a tier without customers with 0."""
+    counts = _value_counts(w.customers, "loyalty_tier")
+    return along_spine(counts, "loyalty_tier", LOYALTY_TIERS, keep_absent=True).fillna(0, ["row_count"])
 
 
 def event_counts(w: Warehouse) -> DataFrame:

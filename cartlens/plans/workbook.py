@@ -7,6 +7,7 @@ equal are ordered by their key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,30 @@ from cartlens.plans.warehouse import Warehouse
 from cartlens.sources.csv import write_all_csv
 from cartlens.vocabulary import DATA_SHEET_ROWS, LOWEST_SEGMENT, NO_CAMPAIGN, SEGMENTS
 
+# The key figures of the summary sheet and the columns of the data sheets, in order.
+KPIS = [
+    ("Total Net Revenue", "net_revenue", dollars),
+    ("Total Orders", "orders", grouped_digits),
+    ("Unique Customers", "buyers", grouped_digits),
+    ("Average Order Value", "aov", partial(dollars, digits=2)),
+    ("Refund Rate", "refund_rate", percent_text),
+    ("Total Customers", "customers", grouped_digits),
+    ("Total Products", "products", grouped_digits),
+    ("Total Campaigns", "campaigns", grouped_digits),
+    ("Total Events", "events", grouped_digits),
+    ("Avg Campaign Conversion", "conversion", percent_text),
+    ("Champions (RFM)", "champions", grouped_digits),
+    ("Lost Customers (RFM)", "lost", grouped_digits),
+]
+DATA_TRANSACTION_COLUMNS = [
+    "transaction_id", "timestamp", "customer_id", "product_id", "quantity", "discount_applied", "gross_revenue",
+    "net_revenue", "campaign_id", "refund_flag", "month", "year",
+]
+DATA_CUSTOMER_360_COLUMNS = [
+    "customer_id", "country", "age", "gender", "loyalty_tier", "acquisition_channel", "total_orders",
+    "total_revenue", "avg_order_value", "recency_days", "rfm_score", "rfm_segment", "has_purchased",
+]
+
 
 def derived_periods(w: Warehouse) -> DataFrame:
     """Transactions with month and year derived again from the timestamp."""
@@ -203,38 +228,25 @@ def fact_figures(w: Warehouse) -> DataFrame:
     )
 
 
-def long_figures(figures: DataFrame, rows: list[tuple]) -> DataFrame:
-    """kpi_no, kpi, value, display from the one-row frame and (label, value, display) columns."""
+def long_figures(figures: DataFrame, rows: list[tuple[str, str | None, Callable]]) -> DataFrame:
+    """kpi_no, kpi, value, display from the one-row frame and (label, column, how to show it).
+
+    Without a column there is no value, and the display is made from the whole row.
+    """
     structs = [
         F.struct(
             F.lit(number).alias("kpi_no"),
             F.lit(label).alias("kpi"),
-            (F.lit(None) if value is None else F.col(value)).cast("double").alias("value"),
-            display.alias("display"),
+            (F.lit(None) if column is None else F.col(column)).cast("double").alias("value"),
+            (show() if column is None else show(column)).alias("display"),
         )
-        for number, (label, value, display) in enumerate(rows, start=1)
+        for number, (label, column, show) in enumerate(rows, start=1)
     ]
     return figures.select(F.inline(F.array(*structs)))
 
 
 def kpis(w: Warehouse) -> DataFrame:
-    return long_figures(
-        fact_figures(w),
-        [
-            ("Total Net Revenue", "net_revenue", dollars("net_revenue")),
-            ("Total Orders", "orders", grouped_digits("orders")),
-            ("Unique Customers", "buyers", grouped_digits("buyers")),
-            ("Average Order Value", "aov", dollars("aov", 2)),
-            ("Refund Rate", "refund_rate", percent_text("refund_rate")),
-            ("Total Customers", "customers", grouped_digits("customers")),
-            ("Total Products", "products", grouped_digits("products")),
-            ("Total Campaigns", "campaigns", grouped_digits("campaigns")),
-            ("Total Events", "events", grouped_digits("events")),
-            ("Avg Campaign Conversion", "conversion", percent_text("conversion")),
-            ("Champions (RFM)", "champions", grouped_digits("champions")),
-            ("Lost Customers (RFM)", "lost", grouped_digits("lost")),
-        ],
-    )
+    return long_figures(fact_figures(w), KPIS)
 
 
 def titled(df: DataFrame) -> DataFrame:
@@ -243,12 +255,8 @@ def titled(df: DataFrame) -> DataFrame:
 
 
 def data_transactions(w: Warehouse) -> DataFrame:
-    columns = [
-        "transaction_id", "timestamp", "customer_id", "product_id", "quantity", "discount_applied",
-        "gross_revenue", "net_revenue", "campaign_id", "refund_flag", "month", "year",
-    ]
     # Ties on the id (should it not be unique) are settled by the other columns.
-    return first_rows(w.transactions.select(columns), columns, DATA_SHEET_ROWS)
+    return first_rows(w.transactions.select(DATA_TRANSACTION_COLUMNS), DATA_TRANSACTION_COLUMNS, DATA_SHEET_ROWS)
 
 
 def data_customers(w: Warehouse) -> DataFrame:
@@ -264,10 +272,7 @@ def data_products(w: Warehouse) -> DataFrame:
 
 
 def data_customer_360(w: Warehouse) -> DataFrame:
-    return w.customer_360.select(
-        "customer_id", "country", "age", "gender", "loyalty_tier", "acquisition_channel", "total_orders",
-        "total_revenue", "avg_order_value", "recency_days", "rfm_score", "rfm_segment", "has_purchased",
-    )
+    return w.customer_360.select(DATA_CUSTOMER_360_COLUMNS)
 
 
 # Sheet sections by table name, in workbook order.

@@ -129,8 +129,9 @@ SQL_REPORTS = {
 EDA = {
     "eda_age_histogram": _histogram("customers", "age", 30),
     "eda_tier_counts": over("customers", f"""
-        SELECT loyalty_tier, count(*) AS row_count FROM customers WHERE loyalty_tier IS NOT NULL
-        GROUP BY loyalty_tier ORDER BY {TIER_NO}"""),
+        SELECT tiers.loyalty_tier, count(customer_id) AS row_count
+        FROM {TIERS} LEFT JOIN customers ON customers.loyalty_tier = tiers.loyalty_tier
+        GROUP BY tiers.loyalty_tier"""),
     "eda_event_counts": over("clicks", """
         SELECT event_type, count(*) AS row_count FROM clicks GROUP BY event_type ORDER BY row_count DESC"""),
     "eda_revenue_histogram": _histogram("transactions", "least(greatest(gross_revenue, -200), 600)", 50),

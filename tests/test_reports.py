@@ -196,6 +196,11 @@ def test_null_percentages(spark):
     assert rows_of(eda.null_percentages(w)) == [("customers", "age", 33.33)]
 
 
+def test_tier_counts_show_every_tier(spark):
+    w = fixed_warehouse(spark, customers=table(spark, "customers", [{}, {}, dict(loyalty_tier="Diamond")]))
+    assert rows_of(eda.tier_counts(w)) == [("Bronze", 0), ("Silver", 0), ("Gold", 2), ("Platinum", 0)]
+
+
 def test_titles(spark):
     assert workbook.titled(spark.sql("SELECT 1 AS avg_order_value, 2 AS orders")).columns == [
         "Avg Order Value", "Orders"]
