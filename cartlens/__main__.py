@@ -20,7 +20,9 @@ from cartlens.sources.csv import write_all_csv
 
 
 def main(arguments: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="cartlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
+    parser = argparse.ArgumentParser(
+        prog="cartlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter
+    )
     actions = parser.add_subparsers(dest="action", required=True)
     for action, names in {
         "build": ["raw", "warehouse"], "show": ["warehouse", "report"], "report": ["warehouse", "folder"],
