@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
+from cartlens.llm.simhash import near_duplicates
 from cartlens.llm.tokens import token_counts
+from cartlens.llm.toxicity import toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,12 +20,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
