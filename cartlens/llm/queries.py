@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
+from cartlens.llm.mixing import mix
 from cartlens.llm.simhash import near_duplicates
+from cartlens.llm.sql import OP1
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -34,6 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pareto_mix": op1_pareto_mix,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -41,4 +48,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_pareto_mix": OP1}
