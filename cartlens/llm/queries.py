@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
 from cartlens.llm.mixing import mix
+from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
 from cartlens.llm.sql import OP1
 from cartlens.llm.tokens import token_counts
@@ -31,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op6_robust_outliers": op6_robust_outliers,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }

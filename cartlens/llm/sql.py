@@ -49,10 +49,12 @@ z AS (
          target - sum(sure * size) OVER (PARTITION BY source) AS remaining
   FROM y
 ),
+q AS (
+  SELECT source, place, doc_id, size, remaining, sum(size) AS words
+  FROM z WHERE place IS NOT NULL GROUP BY source, place, doc_id, size, remaining
+),
 r AS (
-  SELECT source, place, doc_id, size, remaining, sum(size) AS words,
-         sum(sum(size)) OVER (PARTITION BY source ORDER BY place, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM z WHERE place IS NOT NULL GROUP BY ALL
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto FROM q
 ),
 c AS (
   SELECT source, place, doc_id, size FROM r
