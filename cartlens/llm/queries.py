@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
 from cartlens.llm.mixing import mix
+from cartlens.llm.packing import pack
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
 from cartlens.llm.sql import OP1
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -27,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -47,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_language_id": op2_language_id,
+    "op3_genetic_packing": op3_genetic_packing,
     "op4_toxicity": op4_toxicity,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
