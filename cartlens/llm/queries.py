@@ -14,6 +14,7 @@ from cartlens.llm.packing import pack
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
 from cartlens.llm.sql import OP1
+from cartlens.llm.substring import digest, substring_dedup
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
@@ -38,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(substring_dedup(read(spark, sf_dir, "documents")))
+
+
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_genetic_packing": op3_genetic_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_seed_extend_dedup": op5_seed_extend_dedup,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
