@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cartlens.llm import substring, suffix
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
 from cartlens.llm.mixing import mix
@@ -14,7 +15,6 @@ from cartlens.llm.packing import pack
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
 from cartlens.llm.sql import OP1
-from cartlens.llm.substring import digest, substring_dedup
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(substring_dedup(read(spark, sf_dir, "documents")))
+    return substring.digest(substring.substring_dedup(read(spark, sf_dir, "documents")))
 
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.suffix_dedup(read(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_seed_extend_dedup": op5_seed_extend_dedup,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
