@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.llm import substring, suffix
+from cartlens.llm.ann import self_neighbours
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
 from cartlens.llm.mixing import mix
@@ -55,6 +56,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.suffix_dedup(read(spark, sf_dir, "documents")))
 
 
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return self_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_robust_outliers": op6_robust_outliers,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_adaptive_scan": op9_adaptive_scan,
     "op10_token_counts": op10_token_counts,
 }
 
