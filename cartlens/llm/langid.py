@@ -36,6 +36,8 @@ PER_LANGUAGE = 1500
 MAX_LANGUAGES = 200
 WINDOWS = 2
 EPOCHS = 6
+# A text that no language gets this probability for is in none of the learned ones.
+LEAST_SCORE = 0.3
 LETTER = regex.compile(r"\p{L}")
 # Response of the padding behind a short text: never the largest in a window.
 PAD = -1e3
@@ -208,6 +210,18 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
 
 
+def with_known_language(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` whose text is in a learned language; columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            languages, scores = predict(network, batch.column("text").to_pylist())
+            known = [lang != UNKNOWN and score >= least for lang, score in zip(languages, scores)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Fits on the rows of `docs` that are not held out and predicts every row."""
     return identify(docs, language_model(docs, per_language)).withColumn("held_out", held_out())

@@ -160,3 +160,17 @@ def mix(
     return marked.withColumn("copies", copies.cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, as often as it takes them; other columns stay."""
+    copies = mix(docs).where("copies > 0").select(
+        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies"
+    )
+    # Rows that agree in all three have the same number of copies.
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    met = docs.withColumn("mixed_size", size).join(
+        copies.distinct(),
+        F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("mixed_size") == F.col("z")),
+    )
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -195,11 +195,11 @@ ROW = "h long, r long, key long, place long"
 MET = "kind int, h long, key long, place long"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, version and text of every row."""
-    rows = pick(docs, doc_id="long", text="string")
+def keyed(docs: DataFrame, **more: str) -> DataFrame:
+    """key, version, doc_id, text and the columns `more` of every row."""
+    rows = pick(docs, doc_id="long", text="string", **more)
     version = F.pmod(F.xxhash64("text"), F.lit(1 << 16))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), version.alias("version"), "text")
+    return rows.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), version.alias("version"), *rows.columns)
 
 
 def winnowed(unit: Unit) -> Callable:
@@ -404,11 +404,13 @@ def cuts(removed: DataFrame, unit: Unit) -> DataFrame:
     return ranges.groupBy("key", "version").agg(F.collect_list("cut").alias("cuts"))
 
 
-def without_repeats(docs: DataFrame, unit: Unit, compare: Callable, function: Callable, schema: str) -> DataFrame:
-    """`function` over doc_id, text and the stretches to cut (null: none) of every row of `docs`."""
-    rows = keyed(docs)
+def without_repeats(
+    docs: DataFrame, unit: Unit, compare: Callable, function: Callable, schema: str, **more: str
+) -> DataFrame:
+    """`function` over doc_id, text, `more` and the stretches to cut (null: none) of every row of `docs`."""
+    rows = keyed(docs, **more)
     found = cuts(removed_windows(rows, unit, compare), unit)
-    joined = rows.join(found, ["key", "version"], "left").select("doc_id", "text", "cuts")
+    joined = rows.join(found, ["key", "version"], "left").drop("key", "version")
     return joined.mapInArrow(function, schema)
 
 

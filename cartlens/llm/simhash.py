@@ -25,8 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlens.llm.common import by_bytes, pick, stage
 from cartlens.llm.graph import components
@@ -238,17 +239,43 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal) and component_id of every row of `docs` (doc_id, text)."""
-    printed = stage(fingerprints(docs), "fingerprints")
-    classes = stage(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes))
-    rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
+def classes(printed: DataFrame) -> DataFrame:
+    """fingerprint, root (the smallest fingerprint of its component) and component_id of every fingerprint."""
+    found = stage(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links(found))
+    rooted = found.join(roots, found["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
     rooted = stage(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fingerprint", "component_id")
-    return printed.join(classes, "fingerprint").select(
+    return rooted.join(named, "root").select("fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal) and component_id of every row of `docs` (doc_id, text)."""
+    printed = stage(fingerprints(docs), "fingerprints")
+    return printed.join(classes(printed).drop("root"), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component: the one with the smallest id, null last; of equal ids, one."""
+    printed = stage(fingerprints(docs), "fingerprints")
+    rows = printed.join(classes(printed), "fingerprint")
+    chosen = rows.groupBy("root").agg(
+        F.min_by(F.struct("doc_id", "fingerprint"), F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("chosen")
+    )
+    chosen = chosen.select(F.col("chosen.doc_id").alias("d"), F.col("chosen.fingerprint").alias("f"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array(simhash(batch.column("text").to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "fingerprint"])
+
+    schema = T.StructType([*docs.schema, T.StructField("fingerprint", T.LongType())])
+    kept = docs.mapInArrow(add, schema).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left_semi"
+    )
+    alike = Window.partitionBy("doc_id", "fingerprint").orderBy(F.xxhash64("text"))
+    return kept.withColumn("row", F.row_number().over(alike)).where("row = 1").select(*docs.columns)

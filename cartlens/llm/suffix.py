@@ -247,5 +247,28 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return without_repeats(docs, unit, compare(unit), cut_bytes, schema)
 
 
+def cut_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The documents (doc_id, text, lang, source, n_chars) without repeated bytes.
+
+    A character stays if all of its bytes stay. Documents of which nothing stays are left out.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
+                if cuts:
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    text = data[~covered(len(data), cuts)].tobytes().decode(errors="ignore")
+                texts.append(text or "")
+            lengths = pa.array([len(text) for text in texts], pa.int64())
+            columns = [batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), lengths]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang", "source", "n_chars"])
+
+    unit = Unit(window, gram, words=False)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return without_repeats(docs, unit, compare(unit), cut, schema, lang="string", source="string").where("n_chars > 0")
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

@@ -9,14 +9,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cartlens.llm.common import read, stage
-from cartlens.llm.langid import UNKNOWN, language_model, predict
+from cartlens.llm.common import pick, read, stage
+from cartlens.llm.langid import language_model, with_known_language
+from cartlens.llm.mixing import mixed_documents
+from cartlens.llm.packing import pack
+from cartlens.llm.queries import BYTE_VOCABULARY
+from cartlens.llm.simhash import one_of_each
+from cartlens.llm.suffix import cut_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, whatever else there is."""
+    return pick(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labelled ones; those without a letter go."""
+    docs = documents(docs)
+    return with_known_language(docs, language_model(docs))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return one_of_each(documents(docs))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that start earlier in the corpus."""
+    return cut_documents(documents(docs))
+
+
+def pareto_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(documents(docs))
+
+
+def genetic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in the packed sequences."""
+    return pack(documents(docs), BYTE_VOCABULARY)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("pareto_mix", pareto_mix),
+    ("genetic_packing", genetic_packing),
+]
 
 # Model-based and iterative stages have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
