@@ -1,10 +1,13 @@
 """Command line: build a warehouse, answer a report, write the exports.
 
-    python -m cartlens build  <raw CSV folder> <warehouse>
-    python -m cartlens show   <warehouse> <report name>
-    python -m cartlens report <warehouse> <output folder>     workbook tables
-    python -m cartlens star   <warehouse> <output folder>     BI star schema
-    python -m cartlens charts <warehouse> <output folder>     chart datasets
+    python -m cartlens build   <raw CSV folder> <warehouse> [--multi-line] [--catalog]
+    python -m cartlens profile <raw CSV folder>                row counts, types and nulls of the raw tables
+    python -m cartlens show    <warehouse> <report> [--rows N]
+    python -m cartlens write   <warehouse> <report> <folder>   the whole report as CSV
+    python -m cartlens sql     <warehouse> <statement> [--rows N]
+    python -m cartlens report  <warehouse> <folder>            workbook tables
+    python -m cartlens star    <warehouse> <folder>            BI star schema
+    python -m cartlens charts  <warehouse> <folder>            chart datasets
     python -m cartlens list
 """
 
@@ -12,46 +15,81 @@ from __future__ import annotations
 
 import argparse
 
-from cartlens.catalog import CATALOG, loaded_counts
+from pyspark.sql import SparkSession
+
+from cartlens.catalog import CATALOG, NEEDS_RAW, loaded_counts
+from cartlens.operators.profile import profile_all
 from cartlens.plans import charts, star, workbook
-from cartlens.plans.warehouse import build_warehouse, open_warehouse
+from cartlens.plans.warehouse import build_warehouse, open_warehouse, register_views, save_in_catalog
 from cartlens.session import build_session
-from cartlens.sources.csv import write_all_csv
+from cartlens.sources.csv import scan_all_csv, write_all_csv, write_csv
+from cartlens.sources.stage import clear_stage
 
+REPORTS = [name for name in CATALOG if name not in NEEDS_RAW]
+ARGUMENTS = {
+    "build": ["raw", "warehouse"], "profile": ["raw"], "show": ["warehouse", "report"],
+    "write": ["warehouse", "report", "folder"], "sql": ["warehouse", "statement"], "report": ["warehouse", "folder"],
+    "star": ["warehouse", "folder"], "charts": ["warehouse", "folder"], "list": [],
+}
 
-def main(arguments: list[str] | None = None) -> None:
+
+def parsed(arguments: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(
         prog="cartlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter
     )
     actions = parser.add_subparsers(dest="action", required=True)
-    for action, names in {
-        "build": ["raw", "warehouse"], "show": ["warehouse", "report"], "report": ["warehouse", "folder"],
-        "star": ["warehouse", "folder"], "charts": ["warehouse", "folder"], "list": [],
-    }.items():
+    for action, names in ARGUMENTS.items():
         sub = actions.add_parser(action)
         for name in names:
-            sub.add_argument(name)
-    given = parser.parse_args(arguments)
+            sub.add_argument(name, **({"choices": REPORTS, "metavar": "report"} if name == "report" else {}))
+        if action in ("show", "sql"):
+            sub.add_argument("--rows", type=int, default=100)
+        if action in ("build", "profile"):
+            sub.add_argument("--multi-line", action="store_true", help="line breaks inside quoted fields")
+        if action == "build":
+            sub.add_argument("--catalog", action="store_true", help="also save the tables in the catalog")
+    return parser.parse_args(arguments)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    given = parsed(arguments)
     if given.action == "list":
-        print("\n".join(CATALOG))
+        print("\n".join(REPORTS))
         return
-
     spark = build_session()
+    try:
+        answer(spark, given)
+    finally:
+        clear_stage(spark)
+
+
+def answer(spark: SparkSession, given: argparse.Namespace) -> None:
+    if given.action == "profile":
+        profile_all(scan_all_csv(spark, given.raw, given.multi_line)).show(1000, truncate=False)
+        return
     if given.action == "build":
-        loaded_counts(build_warehouse(spark, given.raw, given.warehouse)).show(truncate=False)
+        built = build_warehouse(spark, given.raw, given.warehouse, multi_line=given.multi_line)
+        if given.catalog:
+            save_in_catalog(built)
+        loaded_counts(built).show(truncate=False)
         return
     warehouse = open_warehouse(spark, given.warehouse)
     if given.action == "show":
-        CATALOG[given.report](warehouse).show(100, truncate=False)
-        return
-    if given.action == "report":
-        written = workbook.write_report_tables(warehouse, given.folder)
-    elif given.action == "star":
-        written = write_all_csv(star.exports(warehouse), given.folder)
+        CATALOG[given.report](warehouse).show(given.rows, truncate=False)
+    elif given.action == "sql":
+        register_views(warehouse)
+        spark.sql(given.statement).show(given.rows, truncate=False)
+    elif given.action == "write":
+        write_csv(CATALOG[given.report](warehouse), given.folder)
     else:
-        written = write_all_csv({name: report(warehouse) for name, report in charts.REPORTS.items()}, given.folder)
-    for name, path in written.items():
-        print(f"{name}: {path}")
+        if given.action == "report":
+            written = workbook.write_report_tables(warehouse, given.folder)
+        elif given.action == "star":
+            written = write_all_csv(star.exports(warehouse), given.folder)
+        else:
+            written = write_all_csv({name: report(warehouse) for name, report in charts.REPORTS.items()}, given.folder)
+        for name, path in written.items():
+            print(f"{name}: {path}")
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.columns import ratio, round_half_even
-from cartlens.operators.profile import profile_all, table_sizes
+from cartlens.operators.profile import profile_all, table_sizes, value_sums_all
 from cartlens.plans import (
     behaviour,
     campaigns,
@@ -62,7 +62,10 @@ def mart_round_trip(w: Warehouse) -> DataFrame:
 
 
 def scan_events(w: Warehouse) -> DataFrame:
-    return w.events
+    """Events written by day and scanned again."""
+    root = new_folder(w.spark, "tables")
+    write_table(w.events, root, "events", "date")
+    return scan_table(w.spark, root, "events").select(w.events.columns)
 
 
 def loaded_counts(w: Warehouse) -> DataFrame:
@@ -71,20 +74,27 @@ def loaded_counts(w: Warehouse) -> DataFrame:
     return table_sizes(named).select("table_name", "row_count")
 
 
-def star_csv_counts(w: Warehouse) -> DataFrame:
-    """The nine exports written as CSV; rows and columns of what is read back."""
-    paths = write_all_csv(star.exports(w), new_folder(w.spark, "star"))
-    return table_sizes({name: w.spark.read.option("header", True).csv(path) for name, path in paths.items()})
+def star_csv_values(w: Warehouse) -> DataFrame:
+    """The nine exports written as CSV; sums over every column of what is read back."""
+    return _read_back(w, write_all_csv(star.exports(w), new_folder(w.spark, "star")))
+
+
+def report_table_values(w: Warehouse) -> DataFrame:
+    return _read_back(w, workbook.write_report_tables(w, new_folder(w.spark, "report-tables")))
 
 
-def report_table_counts(w: Warehouse) -> DataFrame:
-    paths = workbook.write_report_tables(w, new_folder(w.spark, "report-tables"))
-    return table_sizes({name: w.spark.read.option("header", True).csv(path) for name, path in paths.items()})
+def _read_back(w: Warehouse, paths: dict[str, str]) -> DataFrame:
+    def text(path: str) -> DataFrame:
+        return w.spark.read.option("header", True).option("escape", '"').csv(path)
+
+    return value_sums_all({name: text(path) for name, path in paths.items()})
 
 
 def full_build(w: Warehouse) -> DataFrame:
-    """Raw tables to a complete warehouse on disk; its row counts."""
-    return loaded_counts(build_warehouse(w.spark, w.raw, new_folder(w.spark, "warehouse")))
+    """Raw tables to a complete warehouse on disk; sums over every column of its tables."""
+    built = build_warehouse(w.spark, w.raw, new_folder(w.spark, "warehouse"))
+    tables = built.cleaned() | {MART_PREFIX + name: df for name, df in built.marts().items()}
+    return value_sums_all(tables)
 
 
 def null_report(w: Warehouse) -> DataFrame:
@@ -104,8 +114,8 @@ SOURCES: dict[str, Report] = {
     "write_mart": mart_round_trip,
     "post_load_count": loaded_counts,
     "scan_table": scan_events,
-    "write_csv_star": star_csv_counts,
-    "report_tables": report_table_counts,
+    "write_csv_star": star_csv_values,
+    "report_tables": report_table_values,
     "build_warehouse": full_build,
 }
 
@@ -164,9 +174,9 @@ def revenue_per_visitor(w: Warehouse) -> DataFrame:
 
 
 def built_marts(w: Warehouse) -> DataFrame:
-    """All four marts built from the cleaned tables and written; rows and columns of each."""
+    """All four marts built from the cleaned tables and written; sums over every column of each."""
     built = {MART_PREFIX + name: df for name, df in marts.build_all(w.cleaned()).items()}
-    return table_sizes({name: stage(df, name) for name, df in built.items()})
+    return value_sums_all({name: stage(df, name) for name, df in built.items()})
 
 
 MART_STEPS: dict[str, Report] = {
@@ -192,6 +202,9 @@ MART_STEPS: dict[str, Report] = {
     "build_all": built_marts,
 }
 
+# Answered from the raw tables, which a warehouse opened from disk does not have.
+NEEDS_RAW = ("scan_csv", "ingest_rowcount", "profile_raw", "build_warehouse")
+
 CATALOG: dict[str, Report] = {
     **SOURCES,
     **CLEANING,

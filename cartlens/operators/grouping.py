@@ -44,3 +44,35 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     for key in keys:
         matches = matches & F.col(key).eqNullSafe(F.col(f"right_{key}"))
     return left.join(renamed, matches, "left").drop(*[f"right_{key}" for key in keys])
+
+
+def channel_sums(attributed: DataFrame, channels: DataFrame, distincts: dict[str, str]) -> DataFrame:
+    """Per channel of `channels` (campaign_id, channel): rows (`orders`), refunds, exact net revenue and its
+    mean as doubles, and for each `{output: column}` the number of distinct non-null values.
+
+    Only folded rows meet the campaigns: one row of sums per campaign, and each campaign's distinct
+    values. A campaign that holds very many transactions is a single row of sums in the join. A
+    campaign that is listed twice counts twice in the sums. Null channels are a group of their own.
+    """
+    sums = attributed.groupBy("campaign_id").agg(
+        F.count("transaction_id").alias("orders"),
+        F.count_if("refund_flag").alias("refunds"),
+        F.sum("net_revenue").alias("net"),
+        F.count("net_revenue").alias("paid"),
+    )
+    result = (
+        sums.join(channels, "campaign_id")
+        .groupBy("channel")
+        .agg(
+            F.sum("orders").alias("orders"),
+            F.sum("refunds").alias("refunds"),
+            F.sum("net").cast("double").alias("net_revenue"),
+            F.try_divide(F.sum("net").cast("double"), F.sum("paid").cast("double")).alias("mean_revenue"),
+        )
+    )
+    for name, column in distincts.items():
+        pairs = attributed.where(F.col(column).isNotNull()).select("campaign_id", column).distinct()
+        pairs = pairs.join(channels, "campaign_id").select("channel", column).distinct()
+        counted = pairs.groupBy("channel").agg(F.count(F.lit(1)).alias(name))
+        result = _join_null_safe(result, counted, ["channel"]).withColumn(name, F.coalesce(name, F.lit(0)))
+    return result

@@ -34,6 +34,32 @@ def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
     return _stacked([null_counts(df, name) for name, df in tables.items()])
 
 
+def value_sums(df: DataFrame, table_name: str) -> DataFrame:
+    """One row per column: table_name, column_name, row_count, filled (values that are not null), total
+    (of the values that are numbers, to three digits) and letters (in those that are not).
+
+    Numbers are read from their text, so a table and what was written of it as text compare equal.
+    """
+    columns = []
+    for name in df.columns:
+        text = named(name).cast("string")
+        number = text.try_cast("decimal(38,6)")
+        columns.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.count(text).alias("filled"),
+                F.round(F.sum(number), 3).cast("double").alias("total"),
+                F.sum(F.when(number.isNull(), F.length(text))).alias("letters"),
+            )
+        )
+    summed = df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*columns).alias("sums"))
+    return summed.select(F.lit(table_name).alias("table_name"), "row_count", F.inline("sums"))
+
+
+def value_sums_all(tables: dict[str, DataFrame]) -> DataFrame:
+    return _stacked([value_sums(df, name) for name, df in tables.items()])
+
+
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, row_count, column_count."""
     return _stacked(

@@ -14,14 +14,6 @@ from pyspark.sql import functions as F
 
 from cartlens.sources.stage import stage
 
-# Spark's own median keeps one entry per distinct value of a group in a single task; that is the
-# better plan up to this many rows and is not used beyond.
-MEDIAN_IN_MEMORY_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-
-PLAIN_SORT_ROWS = 20_000_000
-CUT_SAMPLE_ROWS = 1_000_000
-
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
     """`df` with `upto`, the sum of `weight` over the rows of the same group up to this one, and
@@ -107,82 +99,37 @@ def quantile_buckets(df: DataFrame, measures: Sequence[str], key: str, buckets:
     return with_cuts.drop("cuts")
 
 
-def exact_median(
-    df: DataFrame, value: str, group: Sequence[str] = (), in_memory_rows: int = MEDIAN_IN_MEMORY_ROWS
-) -> DataFrame:
+def exact_median(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Group columns and `median` (double, nulls ignored) of a decimal or whole-number column.
 
-    `df` should be a plain scan: it is counted and then read once or twice. Small inputs use
-    Spark's `median`. Beyond that a quantile sketch of fixed size brackets the middle of each group;
-    a second pass folds everything below the bracket into one count and keeps the few values inside,
-    which are then ranked exactly.
+    Equal values are folded into one row with their number before anything is sorted, and the middle is
+    found in the running totals of those rows: one plan for any size and any number of digits.
     """
-    present = df.where(F.col(value).isNotNull())
-    if present.count() <= in_memory_rows:
-        return present.groupBy(*group).agg(F.median(value).alias("median"))
-    return _bracketed_median(present, value, list(group))
-
-
-def _bracketed_median(present: DataFrame, value: str, group: list[str]) -> DataFrame:
-    keyed = present.select(*group, F.lit(0).alias("everything"), F.col(value).alias("value"))
     keys = [*group, "everything"]
-    margin = 4.0 / SKETCH_ACCURACY
-    bounds = stage(
-        keyed.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("value", [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("bracket"),
-        )
-        .select(*keys, "n", F.col("bracket")[0].alias("low"), F.col("bracket")[1].alias("high")),
-        "median-bounds",
-    )
-    # No broadcast hint: the bounds are a written table, so the planner knows their real size.
-    narrowed = (
-        keyed.join(bounds, keys)
-        .where(F.col("value") <= F.col("high"))
-        .groupBy(*keys, "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("candidate"))
+    folded = (
+        df.where(F.col(value).isNotNull())
+        .select(*group, F.lit(0).alias("everything"), F.col(value).alias("value"))
+        .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    ranked = running_total(narrowed, keys, ["candidate"], "times")
+    ranked = running_total(folded, keys, ["value"], "times")
 
     def at(position: Column) -> Column:
         covers = (F.col("upto") >= position) & (F.col("upto") - F.col("times") < position)
-        return F.max(F.when(covers, F.col("candidate").cast("double")))
+        return F.max(F.when(covers, F.col("value").cast("double")))
 
     middle = ranked.groupBy(*keys).agg(
-        at(F.floor((F.col("n") + 1) / 2)).alias("lower"), at(F.floor((F.col("n") + 2) / 2)).alias("upper")
-    )
-    outside = F.raise_error(F.lit("median outside the sketched bracket"))
-    median = F.when(F.col("lower").isNull() | F.col("upper").isNull(), outside.cast("double")).otherwise(
-        (F.col("lower") + F.col("upper")) / 2
+        at(F.floor((F.col("overall") + 1) / 2)).alias("lower"), at(F.floor((F.col("overall") + 2) / 2)).alias("upper")
     )
-    return middle.select(*group, median.alias("median"))
+    return middle.select(*group, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
 
 
-def first_rows(
-    df: DataFrame, order: Sequence[str], limit: int, plain_rows: int = PLAIN_SORT_ROWS, sampled: int = CUT_SAMPLE_ROWS
-) -> DataFrame:
-    """The first `limit` rows by `order` (ascending, nulls last), for limits of many thousand rows.
-
-    Sort-and-limit sends up to `limit` rows of every task to a single one, too much with very many
-    tasks. Beyond `plain_rows` rows a cut on the first column is therefore taken from a sample; the
-    rows up to it are counted over the whole table, and only if they really are `limit` or more does
-    the sort run on them alone. The sample decides how many rows get sorted, not which ones come out.
-    """
-    ordered = [F.col(name).asc_nulls_last() for name in order]
-    leading = F.col(order[0])
-    rows = df.count()
-    if rows > plain_rows:
-        fraction = min(1.0, sampled / rows)
-        place = int(2 * limit * fraction) + 10
-        while place < rows * fraction:
-            lowest = df.select(leading).where(leading.isNotNull()).sample(fraction, seed=1).orderBy(leading)
-            if not (cut := lowest.offset(place - 1).first()):
-                break
-            if df.where(leading <= cut[0]).count() >= limit:
-                return df.where(leading <= cut[0]).orderBy(*ordered).limit(limit)
-            place *= 2
-    return df.orderBy(*ordered).limit(limit)
+def first_rows(df: DataFrame, order: Sequence[str | Column], limit: int | None = None) -> DataFrame:
+    """The first `limit` rows by `order` (ascending, nulls last); without a limit all rows, unsorted."""
+    if limit is None:
+        return df
+    columns = [F.col(column) if isinstance(column, str) else column for column in order]
+    return df.orderBy(*[column.asc_nulls_last() for column in columns]).limit(limit)
 
 
 def _cut_name(measure: str, bucket: int) -> str:

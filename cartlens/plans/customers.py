@@ -124,5 +124,6 @@ REPORTS = {
     "cust_tier_performance": tier_performance,
     "cust_acquisition_perf": acquisition_performance,
     "cust_signup_pivot": signup_matrix,
+    "cust_signup_counts": signup_counts,
     "cust_country_top10": top_countries,
 }

@@ -14,7 +14,7 @@ from cartlens.functions.columns import (
     tier_rank,
     total,
 )
-from cartlens.operators.grouping import group_with_distincts
+from cartlens.operators.grouping import channel_sums, group_with_distincts
 from cartlens.plans.warehouse import Warehouse
 from cartlens.vocabulary import COHORT_LAST_MONTH, NO_CAMPAIGN
 
@@ -42,21 +42,17 @@ def monthly_revenue(w: Warehouse) -> DataFrame:
 
 
 def revenue_by_channel(w: Warehouse) -> DataFrame:
-    """Both distinct counts share one pass here: counting them apart would repeat the join of the fact
-    with the campaigns, which is the larger cost once the campaigns are too many to broadcast."""
     attributed = w.transactions.where(F.col("campaign_id") != NO_CAMPAIGN)
-    return (
-        attributed.join(w.campaigns.select("campaign_id", "channel"), "campaign_id")
-        .groupBy("channel")
-        .agg(
-            F.countDistinct("transaction_id").alias("orders"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            round_half_up(total("net_revenue"), 2).alias("net_revenue"),
-            round_half_up(mean("net_revenue"), 2).alias("avg_order_value"),
-            F.count_if("refund_flag").alias("refunds"),
-        )
-        .orderBy(largest_first("net_revenue"))
-    )
+    channels = w.campaigns.select("campaign_id", "channel")
+    sums = channel_sums(attributed, channels, {"distinct_orders": "transaction_id", "unique_customers": "customer_id"})
+    return sums.select(
+        "channel",
+        F.col("distinct_orders").alias("orders"),
+        "unique_customers",
+        round_half_up("net_revenue", 2).alias("net_revenue"),
+        round_half_up("mean_revenue", 2).alias("avg_order_value"),
+        "refunds",
+    ).orderBy(largest_first("net_revenue"))
 
 
 def top10_campaigns(w: Warehouse) -> DataFrame:

@@ -12,7 +12,14 @@ from cartlens.plans import marts
 from cartlens.plans.clean import CLEANERS, clean_all
 from cartlens.sources.csv import scan_all_csv
 from cartlens.sources.stage import stage
-from cartlens.sources.tables import MART_PREFIX, PARTITION_COLUMNS, scan_table, write_mart, write_table
+from cartlens.sources.tables import (
+    MART_PREFIX,
+    PARTITION_COLUMNS,
+    save_as_catalog_table,
+    scan_table,
+    write_mart,
+    write_table,
+)
 
 # Each mart's builder and the cleaned tables it reads.
 MARTS = {
@@ -87,6 +94,22 @@ def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     return Warehouse(spark, lambda _, name: scan_table(spark, root, name))
 
 
+def register_views(warehouse: Warehouse) -> list[str]:
+    """The cleaned tables and marts as temporary views of the session, for SQL; their names."""
+    tables = warehouse.cleaned() | {MART_PREFIX + name: df for name, df in warehouse.marts().items()}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return list(tables)
+
+
+def save_in_catalog(warehouse: Warehouse) -> list[str]:
+    """The same as tables of the session's catalog."""
+    tables = warehouse.cleaned() | {MART_PREFIX + name: df for name, df in warehouse.marts().items()}
+    for name, df in tables.items():
+        save_as_catalog_table(df, name, PARTITION_COLUMNS.get(name))
+    return list(tables)
+
+
 def staged_warehouse(spark: SparkSession, raw: dict[str, DataFrame]) -> Warehouse:
     """A warehouse over raw frames that writes each table or mart only when it is first read."""
 
@@ -104,6 +127,7 @@ def build_warehouse(
     source: str | dict[str, DataFrame],
     root: str,
     partition_by: dict[str, str] = PARTITION_COLUMNS,
+    multi_line: bool = False,
 ) -> Warehouse:
     """Rebuild everything: raw tables (a folder of CSV files, or frames) -> cleaned tables -> marts.
 
@@ -111,7 +135,7 @@ def build_warehouse(
     Tables, and then marts, do not depend on each other: their jobs are submitted side by side, and
     the small ones fill the gaps the large ones leave on the cluster.
     """
-    raw = scan_all_csv(spark, source) if isinstance(source, str) else source
+    raw = scan_all_csv(spark, source, multi_line) if isinstance(source, str) else source
     side_by_side(
         [partial(write_table, df, root, name, partition_by.get(name)) for name, df in clean_all(raw).items()]
     )

@@ -24,6 +24,7 @@ from cartlens.functions.columns import (
     total,
     total_or_zero,
 )
+from cartlens.operators.grouping import channel_sums
 from cartlens.operators.ranking import first_rows
 from cartlens.plans.campaigns import ab_counts, with_revenue
 from cartlens.plans.customers import acquisition_performance, buyers_by, segmented
@@ -81,17 +82,16 @@ def monthly_revenue(w: Warehouse) -> DataFrame:
 
 def channel_revenue(w: Warehouse) -> DataFrame:
     """Transactions of no known campaign have no channel and drop out with the null group."""
-    channels = w.campaigns.select("campaign_id", "channel").dropDuplicates()
+    channels = w.campaigns.select("campaign_id", "channel").where(F.col("channel").isNotNull()).dropDuplicates()
+    attributed = w.transactions.where(F.col("campaign_id") != NO_CAMPAIGN)
     return (
-        w.transactions.where(F.col("campaign_id") != NO_CAMPAIGN)
-        .join(channels, "campaign_id", "left")
-        .where(F.col("channel").isNotNull())
-        .groupBy("channel")
-        .agg(
-            F.count("transaction_id").alias("orders"),
-            round_half_even(total_or_zero("net_revenue"), 2).alias("net_revenue"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            round_half_even(mean("net_revenue"), 2).alias("avg_order_value"),
+        channel_sums(attributed, channels, {"unique_customers": "customer_id"})
+        .select(
+            "channel",
+            "orders",
+            round_half_even(F.coalesce("net_revenue", F.lit(0.0)), 2).alias("net_revenue"),
+            "unique_customers",
+            round_half_even("mean_revenue", 2).alias("avg_order_value"),
         )
         .orderBy(F.desc("net_revenue"), "channel")
     )
@@ -254,9 +254,11 @@ def titled(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({name: name.replace("_", " ").title() for name in df.columns})
 
 
-def data_transactions(w: Warehouse) -> DataFrame:
-    # Ties on the id (should it not be unique) are settled by the other columns.
-    return first_rows(w.transactions.select(DATA_TRANSACTION_COLUMNS), DATA_TRANSACTION_COLUMNS, DATA_SHEET_ROWS)
+def data_transactions(w: Warehouse, limit: int | None = None) -> DataFrame:
+    """All transactions, or the first `limit` by id: by number where ids are whole numbers, else by text.
+    Ties on the id (should it not be unique) are settled by the other columns."""
+    number = F.col("transaction_id").try_cast("decimal(38,0)")
+    return first_rows(w.transactions.select(DATA_TRANSACTION_COLUMNS), [number, *DATA_TRANSACTION_COLUMNS], limit)
 
 
 def data_customers(w: Warehouse) -> DataFrame:
@@ -315,7 +317,7 @@ REPORTS = {
     "xl_funnel": funnel_titled,
     "xl_kpis": kpis,
     "xl_header_titles": lambda w: titled(monthly_revenue(w)),
-    "xl_data_sheets": data_transactions,
+    "xl_data_sheets": partial(data_transactions, limit=DATA_SHEET_ROWS),
     "xl_data_sheets_customers": data_customers,
     "xl_data_sheets_campaigns": data_campaigns,
     "xl_data_sheets_products": data_products,

@@ -11,30 +11,51 @@ from cartlens.sources.schemas import RAW_COLUMNS, text_schema
 from cartlens.vocabulary import NULL_TOKENS
 
 
+CORRUPT = "_corrupt_record"
+
+
 def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
     """Every column as text, with the usual spellings of a missing value turned into null.
 
     Columns are matched by the file's own header, whatever their order and whatever else the file
     holds. The schema is never inferred from the data: only the header line is read ahead.
     `multi_line` admits line breaks inside quoted fields, at the price of one task per file.
+
+    A row with more or fewer fields than the header, or cut by a line break in quotes, is an error when it
+    is read; `malformed_rows` counts and shows such rows.
     """
-    header = _header(spark, path)
-    if missing := [name for name in columns if name not in header]:
+    frame = _records(spark, path, multi_line)
+    if missing := [name for name in columns if name not in frame.columns]:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    frame = (
-        spark.read.schema(text_schema(header))
+    message = F.concat(F.lit(f"malformed row in {path}: "), F.col(CORRUPT))
+    sound = F.when(F.col(CORRUPT).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    return frame.where(sound).select([_null_token_free(name) for name in columns])
+
+
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The rows of a file that do not fit its header, as text (`row`)."""
+    frame = _records(spark, path, multi_line)
+    return frame.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row"))
+
+
+def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = text_schema(_header(spark, path)).add(CORRUPT, T.StringType())
+    return (
+        spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
         .csv(path)
     )
-    return frame.select([_null_token_free(name) for name in columns])
 
 
-def scan_all_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def scan_all_csv(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """The five raw tables from `<folder>/<table>.csv` (a file or a folder of part files)."""
     return {
-        table: scan_csv(spark, f"{folder.rstrip('/')}/{table}.csv", columns)
+        table: scan_csv(spark, f"{folder.rstrip('/')}/{table}.csv", columns, multi_line)
         for table, columns in RAW_COLUMNS.items()
     }
 

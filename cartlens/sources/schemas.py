@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of the input files.
 RAW_COLUMNS = {
     "campaigns": [
         "campaign_id", "channel", "objective", "start_date", "end_date", "target_segment", "expected_uplift",

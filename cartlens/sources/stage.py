@@ -2,17 +2,17 @@
 
 A staged table cuts lineage (a lost executor costs a re-read, not a recomputation), is column
 pruned by whoever reads it, and carries file sizes, so that the planner broadcasts it only when it
-is really small.
+is really small. All of an application's tables lie below one folder, which `clear_stage` removes.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -24,17 +24,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, grouped by application so that it is easy to clear."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session may go without one."""
+    """The session's checkpoint folder. A local session without one uses its warehouse folder, which it
+    names anyway; a cluster has to name a folder that every executor can reach."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cartlens-"))
-        folder = context.getCheckpointDir()
+        folder = f"{spark.conf.get(WAREHOUSE_SETTING).rstrip('/')}/stage"
     return folder.rstrip("/")
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Remove everything this application has staged; tables read from it are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -105,12 +105,22 @@ TX_AGG = "SELECT * REPLACE (CAST(total_revenue AS DOUBLE) AS total_revenue) FROM
 DAY_SPAN = "(SELECT min(day) AS lo, max(day) AS hi FROM transactions)"
 
 
-def _counted(rows: list[tuple[str, str, int]]) -> str:
-    """(label, source of the rows, columns)."""
-    return over("campaigns customers products transactions c360 perf funnel prod clicks", _union([
-        f"SELECT '{label}' AS table_name, count(*) AS row_count, CAST({width} AS INT) AS column_count FROM {source}"
-        for label, source, width in rows
-    ]))
+def values(tables: dict[str, str]) -> str:
+    """Sums over the columns of each query's rows, by label."""
+    return _union([
+        f"""SELECT '{label}' AS table_name, column_name, count(*) AS row_count, count(v) AS filled,
+                   CAST(round(sum(TRY_CAST(v AS DECIMAL(38,6))), 3) AS DOUBLE) AS total,
+                   CAST(sum(length(v)) FILTER (WHERE TRY_CAST(v AS DECIMAL(38,6)) IS NULL) AS BIGINT) AS letters
+            FROM (FROM (SELECT COLUMNS(*)::VARCHAR FROM ({query}))
+                  UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(*)))) GROUP BY column_name"""
+        for label, query in tables.items()
+    ])
+
+
+def titled(sums: str) -> str:
+    """Sheet headers in place of column names."""
+    return f"""SELECT * REPLACE (array_to_string(
+        [upper(x[1]) || x[2:] FOR x IN string_split(column_name, '_')], ' ') AS column_name) FROM ({sums})"""
 
 
 SQL = {
@@ -125,31 +135,6 @@ SQL = {
     "write_mart": over("prod", PRODUCT_MART),
     "post_load_count": LOADED,
     "scan_table": over("clicks", CLEAN_EVENTS),
-    "write_csv_star": _counted([
-        ("fact_transactions", "transactions", 13), ("dim_customers", "customers", 7),
-        ("dim_campaigns", "campaigns", 8), ("dim_products", "products", 6),
-        ("dim_date", f"(SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) FROM {DAY_SPAN})", 9),
-        ("mart_customer_360", "customers", 17), ("mart_campaign_perf", "campaigns", 21),
-        ("mart_funnel", "funnel", 4), ("mart_product_perf", "products", 10),
-    ]),
-    "report_tables": _counted([
-        ("executive_summary", "generate_series(1, 12)", 4),
-        ("revenue_trends", "(SELECT DISTINCT month FROM transactions)", 6),
-        ("rfm_segment_performance", "(SELECT DISTINCT rfm_segment FROM c360 WHERE rfm_segment IS NOT NULL)", 5),
-        ("acquisition_channel_performance",
-         "(SELECT DISTINCT acquisition_channel FROM c360 WHERE has_purchased)", 4),
-        ("revenue_by_country", "(SELECT DISTINCT country FROM c360 WHERE has_purchased LIMIT 20)", 4),
-        ("campaign_detail", "(SELECT 1 FROM perf WHERE net_revenue IS NOT NULL)", 10),
-        ("revenue_by_channel", "(SELECT DISTINCT channel FROM transactions JOIN campaigns USING (campaign_id))", 5),
-        ("ab_test", "(SELECT DISTINCT experiment_group FROM clicks)", 8),
-        ("revenue_by_category", "(SELECT DISTINCT category FROM products)", 5),
-        ("top_25_products", "(SELECT 1 FROM prod WHERE total_revenue > 0 LIMIT 25)", 9),
-        ("funnel_analysis", "funnel", 4),
-        ("data_transactions", "(SELECT 1 FROM transactions LIMIT 50000)", 12),
-        ("data_customers", "customers", 7), ("data_campaigns", "campaigns", 8), ("data_products", "products", 6),
-        ("data_customer360", "customers", 13),
-    ]),
-    "build_warehouse": LOADED,
     "clean_campaigns": over("campaigns", CLEAN_CAMPAIGNS),
     "clean_customers": over("customers", CLEAN_CUSTOMERS),
     "clean_events": over("clicks", CLEAN_EVENTS),
@@ -189,10 +174,6 @@ SQL = {
         FROM perf"""),
     "funnel": over("funnel", FUNNEL),
     "product_performance": over("prod", PRODUCT_MART),
-    "build_all": _counted([
-        ("mart_customer_360", "c360", 30), ("mart_campaign_performance", "perf", 25), ("mart_funnel", "funnel", 4),
-        ("mart_product_performance", "prod", 12),
-    ]),
     "fact_transactions": over("transactions", """
         SELECT transaction_id, strftime(ts, '%Y-%m-%d') AS date, month,
                concat(year(ts), 'Q', quarter(ts)) AS quarter, year, customer_id, product_id, campaign_id,
@@ -238,3 +219,18 @@ SQL = {
         ]
     },
 }
+
+MART_SQL = {
+    "mart_customer_360": SQL["customer_360"], "mart_campaign_performance": SQL["campaign_performance"],
+    "mart_funnel": SQL["funnel"], "mart_product_performance": SQL["product_performance"],
+}
+SQL |= {
+    "build_all": values(MART_SQL),
+    "build_warehouse": values({t: SQL[f"clean_{t}"] for t in RAW_TYPES} | MART_SQL),
+    "write_csv_star": values({
+        "fact_transactions": SQL["fact_transactions"], "dim_customers": SQL["dim_customers"],
+        "dim_campaigns": SQL["dim_campaigns"], "dim_products": SQL["dim_products"], "dim_date": SQL["dim_date"],
+        "mart_customer_360": SQL["pbi_customer_360"], "mart_campaign_perf": SQL["pbi_campaign_perf"],
+        "mart_funnel": SQL["pbi_funnel"], "mart_product_perf": SQL["pbi_product_perf"],
+    }),
+}
