@@ -27,15 +27,22 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: boo
     frame = _records(spark, path, multi_line)
     if missing := [name for name in columns if name not in frame.columns]:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    message = F.concat(F.lit(f"malformed row in {path}: "), F.col(CORRUPT))
-    sound = F.when(F.col(CORRUPT).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    message = F.concat(F.lit(f"malformed row in {path}: "), _malformed(frame))
+    sound = F.when(_malformed(frame).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
     return frame.where(sound).select([_null_token_free(name) for name in columns])
 
 
 def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The rows of a file that do not fit its header, as text (`row`)."""
     frame = _records(spark, path, multi_line)
-    return frame.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row"))
+    return frame.select(_malformed(frame).alias("row")).where(F.col("row").isNotNull())
+
+
+def _malformed(frame: DataFrame) -> Column:
+    """The text of a malformed row. Spark does not answer from the record column alone: nothing of the first
+    column is added to it."""
+    nothing = F.substring(F.coalesce(named(frame.columns[0]), F.lit("")), 1, 0)
+    return F.concat(F.col(CORRUPT), nothing)
 
 
 def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:

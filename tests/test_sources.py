@@ -7,12 +7,14 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from cartlens import __main__ as main
 from cartlens.plans import star, workbook
 from cartlens.plans.warehouse import MARTS, build_warehouse, open_warehouse, side_by_side
 from cartlens.sources import csv, stage, tables
 from cartlens.sources.schemas import RAW_COLUMNS
 from cartlens.sources.testdata import raw_tables
 from tests.conftest import SMALL
+from tests.test_clean import DEFAULTS
 
 
 def write(path, text):
@@ -37,6 +39,87 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert csv.scan_csv(spark, path, ["a", "b"], multi_line=True).first().a == "x\ny"
 
 
+@pytest.mark.parametrize("text, bad", [
+    ('a,b\n"x\ny",2\n3,4\n', True), ("a,b\n1,2,3\n4,5\n", True), ("a,b\n1\n4,5\n", True), ("a,b\n1,2\n", False)])
+def test_malformed_rows_are_errors(spark, tmp_path, text, bad):
+    """A break in quotes, a field too many, a field too few: found, counted, never read in silence."""
+    path = write(tmp_path / "c.csv", text)
+    assert (csv.malformed_rows(spark, path).count() > 0) == bad
+    for columns in (["a", "b"], ["a"]):
+        frame = csv.scan_csv(spark, path, columns)
+        if bad:
+            with pytest.raises(Exception, match="malformed row"):
+                frame.collect()
+        else:
+            assert frame.count() == 1
+
+
+def raw_folder(spark, folder, **rows):
+    """Five small CSV files; what is not given is one row of defaults."""
+    for name, columns in RAW_COLUMNS.items():
+        lines = [",".join(columns)]
+        for row in rows.get(name, [{}]):
+            lines.append(",".join("" if (v := (DEFAULTS[name] | row)[c]) is None else str(v) for c in columns))
+        (folder / f"{name}.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(folder)
+
+
+def test_build_takes_line_breaks_and_refuses_broken_rows(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    raw = raw_folder(spark, tmp_path / "raw", products=[dict(brand='"A\nB"')])
+    with pytest.raises(Exception, match="malformed row"):
+        build_warehouse(spark, raw, str(tmp_path / "broken"))
+    built = build_warehouse(spark, raw, str(tmp_path / "warehouse"), multi_line=True)
+    assert [row.brand for row in built.products.collect()] == ["A\nB"]
+
+
+def test_data_sheet_takes_ids_by_number(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    ids = [dict(transaction_id=i) for i in range(20, 0, -1)]
+    raw = raw_folder(spark, tmp_path / "raw", transactions=ids)
+    built = build_warehouse(spark, raw, str(tmp_path / "warehouse"))
+    assert [r.transaction_id for r in workbook.data_transactions(built, 7).collect()] == [str(i) for i in range(1, 8)]
+    assert workbook.data_transactions(built).count() == 20
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "raw").mkdir()
+    raw = raw_folder(spark, tmp_path / "raw", transactions=[dict(transaction_id=i) for i in range(5)])
+    warehouse, out = str(tmp_path / "warehouse"), str(tmp_path / "out")
+    cleared = []
+    monkeypatch.setattr(main, "build_session", lambda: spark)
+    monkeypatch.setattr(main, "clear_stage", cleared.append)
+
+    def said(*arguments):
+        main.main(list(arguments))
+        return capsys.readouterr().out
+
+    assert "mart_funnel" in said("build", raw, warehouse)
+    assert "expected_uplift" in said("profile", raw)
+    listed = said("list").split()
+    assert "q01_monthly_revenue" in listed and "scan_csv" not in listed
+    said("write", warehouse, "clean_transactions", out)
+    assert spark.read.option("header", True).csv(out).count() == 5
+    assert "only showing top 2 rows" in said("show", warehouse, "clean_transactions", "--rows", "2")
+    # Statements over the views: a total, a join with a mart, a ranking by window.
+    assert "|5 " in said("sql", warehouse, "SELECT count(*) AS n FROM transactions")
+    joined = "SELECT c.country, m.total_orders FROM customers c JOIN mart_customer_360 m USING (customer_id)"
+    assert "total_orders" in said("sql", warehouse, joined)
+    ranked = "SELECT stage, rank() OVER (ORDER BY count DESC) AS place FROM mart_funnel"
+    assert "add_to_cart" in said("sql", warehouse, ranked)
+    with pytest.raises(SystemExit):
+        main.main(["show", warehouse, "scan_csv"])
+    assert len(cleared) == 7
+
+
+def test_nothing_staged_is_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stage, "shared_folder", lambda _: str(tmp_path))
+    assert stage.stage(spark.range(3), "left-over").count() == 3
+    assert os.listdir(tmp_path) == [spark.sparkContext.applicationId]
+    stage.clear_stage(spark)
+    assert os.listdir(tmp_path) == []
+
+
 def test_csv_round_trip_keeps_text(spark, tmp_path):
     frame = spark.createDataFrame([(1, ' a "q", b '), (2, None)], "i int, t string")
     csv.write_csv(frame, str(tmp_path / "out"))
@@ -95,12 +178,12 @@ class Context:
     def getCheckpointDir(self):
         return self.folder
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
 
 def session(master, setting=None, folder=None):
-    conf = SimpleNamespace(get=lambda key, default: setting or default)
+    def get(key, default=None):
+        return "/where/tables/are" if key == stage.WAREHOUSE_SETTING else setting or default
+
+    conf = SimpleNamespace(get=get)
     return SimpleNamespace(conf=conf, sparkContext=Context(master, folder))
 
 
@@ -112,8 +195,7 @@ def test_stage_folder_comes_from_the_session():
 def test_only_a_local_session_gets_a_folder_of_its_own():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stage.shared_folder(session("spark://host:7077"))
-    local = session("local[2]")
-    assert stage.shared_folder(local) == stage.shared_folder(local) == local.sparkContext.folder
+    assert stage.shared_folder(session("local[2]")) == "/where/tables/are/stage"
 
 
 def test_full_build_from_csv_equals_the_build_from_frames(spark, tmp_path, small_warehouse):
