@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartlens.sources.stage import stage
 
-__all__ = ["HELD_OUT", "SLICE_BYTES", "WORD", "by_bytes", "held_out", "pick", "read", "stage"]
+__all__ = ["HELD_OUT", "SLICE_BYTES", "WORD", "by_bytes", "documents", "held_out", "pick", "read", "stage"]
 
 # A word: a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{places[name]}").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, whatever else there is."""
+    return pick(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
+
+
 def held_out(doc_id="doc_id"):
     """True for the fifth of the documents that no model may learn from; a null id is held out too."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT == 0, F.lit(True))

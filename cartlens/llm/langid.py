@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import by_bytes, held_out, pick
+from cartlens.llm.common import by_bytes, documents, held_out, pick
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` whose text is in a learned language; columns stay as they are."""
+    """The documents whose text is in a learned language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,6 +219,7 @@ def with_known_language(docs: DataFrame, network: Network | None, least: float =
             known = [lang != UNKNOWN and score >= least for lang, score in zip(languages, scores)]
             yield batch.filter(pa.array(known, pa.bool_()))
 
+    docs = documents(docs)
     return docs.mapInArrow(run, docs.schema)
 
 

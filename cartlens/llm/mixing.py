@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import WORD, pick, stage
+from cartlens.llm.common import WORD, documents, pick, stage
 from cartlens.operators.ranking import running_total
 
 WEIGHTS = (5, 2, 1)
@@ -163,7 +163,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, as often as it takes them; other columns stay."""
+    """The documents of the mix, as often as it takes them."""
+    docs = documents(docs)
     copies = mix(docs).where("copies > 0").select(
         F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies"
     )

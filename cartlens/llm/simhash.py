@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.common import by_bytes, pick, stage
+from cartlens.llm.common import by_bytes, documents, pick, stage
 from cartlens.llm.graph import components
 
 SHINGLE = 3
@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest id, null last; of equal ids, one."""
+    docs = documents(docs)
     printed = stage(fingerprints(docs), "fingerprints")
     rows = printed.join(classes(printed), "fingerprint")
     chosen = rows.groupBy("root").agg(

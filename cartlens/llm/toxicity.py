@@ -31,7 +31,7 @@ PER_CLASS = 6000
 LEXICON = 400
 LEAST_DOCUMENTS = 4
 LIFT = 12.0
-STEM = 5
+STEMS = (4, 5)
 
 # Insults and second-person words of the four languages.
 INSULTS = (
@@ -49,7 +49,7 @@ TERM = re.compile(rf"{LETTERS}+")
 # Signs that stand for letters, before a letter; what is around them is looked at one by one.
 SIGNS = re.compile(rf"[@$*!0-9|.]+(?={LETTERS})")
 REST = re.compile(r"[\w@$*!|]*")
-HEAD = re.compile(rf"{LETTERS}+\Z")
+HEAD = re.compile(rf"[@$*!0-9|]*{LETTERS}+\Z")
 LONGEST_HEAD = 30
 PLAIN_LETTERS = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "5": "s", "$": "s", "7": "t", "*": None, ".": None})
 UPPER, LOWER = (bytes(range(ord(a), ord(z) + 1)) for a, z in ("AZ", "az"))
@@ -294,7 +294,7 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = set(TERM.findall(text.lower()))
-                found = sorted(words | {w[:STEM] + "*" for w in words if len(w) >= STEM})
+                found = sorted(words | {w[:n] + "*" for n in STEMS for w in words if len(w) >= n})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"]
                 )

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlens.llm.common import pick, read, stage
+from cartlens.llm.common import documents, read, stage
 from cartlens.llm.langid import language_model, with_known_language
 from cartlens.llm.mixing import mixed_documents
 from cartlens.llm.packing import pack
@@ -21,35 +21,29 @@ from cartlens.llm.suffix import cut_documents
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """The columns of documents alone, whatever else there is."""
-    return pick(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; those without a letter go."""
-    docs = documents(docs)
     return with_known_language(docs, language_model(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    return one_of_each(documents(docs))
+    return one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that start earlier in the corpus."""
-    return cut_documents(documents(docs))
+    return cut_documents(docs)
 
 
 def pareto_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixed_documents(documents(docs))
+    return mixed_documents(docs)
 
 
 def genetic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in the packed sequences."""
-    return pack(documents(docs), BYTE_VOCABULARY)
+    return pack(docs, BYTE_VOCABULARY)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -66,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(read(spark, sf_dir, "documents"))
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
