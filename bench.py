@@ -15,7 +15,7 @@ from cartlens.catalog import CATALOG
 from cartlens.plans import marts
 from cartlens.plans.warehouse import build_warehouse
 from cartlens.session import build_session
-from cartlens.sources.stage import new_folder
+from cartlens.sources.stage import clear_stage, new_folder
 from cartlens.sources.testdata import raw_tables
 
 MARTS = {
@@ -62,6 +62,7 @@ def main() -> None:
     for name in REPORTS:
         timed(name, lambda: run(CATALOG[name](warehouse)))
 
+    clear_stage(spark)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
