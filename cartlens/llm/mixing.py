@@ -84,7 +84,8 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, budget: tuple[
 
 def uniform(doc_id: Column) -> Column:
     """A number strictly between 0 and 1 from the first 52 bits of the id's MD5."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def mix(

@@ -120,7 +120,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                 while start < n:
                     length = (n - start - 1) % capacity + 1 if piece == 0 else capacity
                     part = data[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, piece, start, length, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i4")] if with_ids else [])))
+                    ids = [np.frombuffer(part, "<u4").astype("i4")] if with_ids else []
+                    rows.append((doc_id, piece, start, length, zlib.crc32(part), *ids))
                     start, piece = start + length, piece + 1
             columns = list(zip(*rows)) if rows else [()] * (5 + with_ids)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]

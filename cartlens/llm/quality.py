@@ -119,7 +119,6 @@ def pooled(rows: DataFrame, least: int) -> DataFrame:
         return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("null"))
 
     sizes = stage(rows.groupBy("lang", "source").count(), "groups")
-    of_language = Window.partitionBy("lang", "small")
     by_language = sizes.withColumn("small", F.col("count") < least)
     # Summed before the windows: a language has one row per source here, all sources one per language.
     languages = by_language.where("small").groupBy("lang").agg(F.sum("count").alias("of_language"))

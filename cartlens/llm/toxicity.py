@@ -51,7 +51,9 @@ SIGNS = re.compile(rf"[@$*!0-9|.]+(?={LETTERS})")
 REST = re.compile(r"[\w@$*!|]*")
 HEAD = re.compile(rf"[@$*!0-9|]*{LETTERS}+\Z")
 LONGEST_HEAD = 30
-PLAIN_LETTERS = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "5": "s", "$": "s", "7": "t", "*": None, ".": None})
+PLAIN_LETTERS = str.maketrans(
+    {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "5": "s", "$": "s", "7": "t", "*": None, ".": None}
+)
 UPPER, LOWER = (bytes(range(ord(a), ord(z) + 1)) for a, z in ("AZ", "az"))
 # Characters within which a second-person word counts as near.
 NEAR = 40
