@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.sources.stage import stage
 
-__all__ = ["HELD_OUT", "SLICE_BYTES", "WORD", "by_bytes", "documents", "held_out", "pick", "read", "stage"]
+__all__ = ["HELD_OUT", "SLICE_BYTES", "WORD", "by_bytes", "documents", "held_out", "parted", "pick", "read", "stage"]
 
 # A word: a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,3 +57,12 @@ def by_bytes(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def parted(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each are at most `limit` bytes, or one row: Python objects and arrays
+    made of them stay small, however many rows Spark sends at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        for start, end in by_bytes(sizes, limit):
+            yield batch.slice(start, end - start)

@@ -24,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import by_bytes, documents, held_out, pick
+from cartlens.llm.common import by_bytes, documents, held_out, parted, pick
 
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
+# Windows whose responses are held at once.
+ROWS = 512
 # Places at which all filters fit into a window.
 PLACES = WINDOW - max(WIDTHS) + 1
 PER_LANGUAGE = 1500
@@ -185,9 +187,9 @@ def predict(network: Network | None, texts: list[str | None]) -> tuple[list[str]
         # Each text starts a window of its own; zeros fill its last one.
         flat = np.frombuffer(b"".join(d + bytes(-len(d) % WINDOW) for d in part), np.uint8).reshape(-1, WINDOW)
         owner = np.repeat(np.arange(len(part)), counts)
-        for at in range(0, len(flat), 2048):
-            rows = flat[at : at + 2048]
-            np.add.at(total, owner[at : at + 2048], network.logits(rows) * (rows != 0).sum(axis=1, keepdims=True))
+        for at in range(0, len(flat), ROWS):
+            rows = flat[at : at + ROWS]
+            np.add.at(total, owner[at : at + ROWS], network.logits(rows) * (rows != 0).sum(axis=1, keepdims=True))
         mean = total / np.array([max(1, len(d)) for d in part])[:, None]
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred and score for every row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             languages, scores = predict(network, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
@@ -214,7 +216,7 @@ def with_known_language(docs: DataFrame, network: Network | None, least: float =
     """The documents whose text is in a learned language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             languages, scores = predict(network, batch.column("text").to_pylist())
             known = [lang != UNKNOWN and score >= least for lang, score in zip(languages, scores)]
             yield batch.filter(pa.array(known, pa.bool_()))

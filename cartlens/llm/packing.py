@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import pick, stage
+from cartlens.llm.common import parted, pick, stage
 
 CAPACITY = 2048
 END = 0
@@ -40,7 +40,7 @@ ELITE = 2
 WELL_FILLED = 0.998
 POOR = 0.97
 # Distinct words a worker keeps the ids of; beyond that it starts anew. Bounds memory, not results.
-KNOWN = 400_000
+KNOWN = 150_000
 NEAR_SPACE = re.compile(r"\s ")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary)
-        for batch in batches:
+        for batch in parted(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = words.ids(text or "") + np.array([END], "<u4").tobytes()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import by_bytes, pick, stage
+from cartlens.llm.common import by_bytes, parted, pick, stage
 
 SEGMENT = 1 << 20
 # Regions of one anchor that are compared by content in one task.
@@ -204,7 +204,7 @@ def keyed(docs: DataFrame, **more: str) -> DataFrame:
 
 def winnowed(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             keys = batch.column("key").to_numpy()
             versions = batch.column("version").to_numpy()
             parts, owners, bases = [], [], []
@@ -321,7 +321,7 @@ def cut_regions(unit: Unit) -> Callable:
     """h, key, place and content of candidate regions: bytes, or 16 bytes for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             out: list[tuple[int, int, int, bytes]] = []
             columns = (batch.column(c).to_pylist() for c in ("key", "text", "wanted"))
             for key, text, wanted in zip(*columns):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.common import by_bytes, documents, pick, stage
+from cartlens.llm.common import by_bytes, documents, parted, pick, stage
 from cartlens.llm.graph import components
 
 SHINGLE = 3
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a signed long) of every row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             prints = simhash(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"]
@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = chosen.select(F.col("chosen.doc_id").alias("d"), F.col("chosen.fingerprint").alias("f"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             prints = pa.array(simhash(batch.column("text").to_pylist()).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "fingerprint"])
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.llm.common import parted
 from cartlens.llm.repeats import Unit, covered, packed, unpacked, whole_rows, without_repeats
 
 WINDOW = 20
@@ -77,7 +78,7 @@ def later_windows(unit: Unit, h, key, place, contents) -> tuple[np.ndarray, np.n
 
 
 def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parted(batches):
         rows = []
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             words = (text or "").encode().split()

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.llm.common import parted
 from cartlens.llm.repeats import Unit, covered, packed, unpacked, whole_rows, without_repeats
 
 WINDOW = 100
 GRAM = 32
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -222,7 +223,7 @@ def later_windows(unit: Unit, key, place, contents) -> tuple[np.ndarray, np.ndar
 
 
 def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parted(batches):
         rows = []
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             data = (text or "").encode()
@@ -254,7 +255,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             texts = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
                 if cuts:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import by_bytes, pick
+from cartlens.llm.common import by_bytes, parted, pick
 
 LIMIT = 2048
 
@@ -42,7 +42,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # Words kept in a worker's second transducer; beyond that it starts anew. Bounds memory, not results.
-ARCS = 400_000
+ARCS = 300_000
 # Characters in a chunk of the scan.
 CHUNK = 512
 
@@ -56,7 +56,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = compiled(vocabulary)
-        for batch in batches:
+        for batch in parted(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             n_bytes = [len(text.encode()) for text in texts]
             n_tokens = [n for a, b in by_bytes(n_bytes) for n in counter.counts(texts[a:b])]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import held_out, pick, stage
+from cartlens.llm.common import held_out, parted, pick, stage
 
 PER_CLASS = 6000
 # Learned entries: at most so many, each in so many toxic documents and so many times likelier there.
@@ -260,7 +260,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     lexicon = learned_lexicon(sample.where("part < 2"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             rows = [features(lexicon, text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), batch.column("part"), pa.array(rows, pa.list_(pa.float64()))],
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted for every row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             scores = model.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
