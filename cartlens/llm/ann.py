@@ -7,12 +7,16 @@ missing of the inner product is, after the rotation, normal around 0 with deviat
 |rest of q| * |rest of x| / sqrt(columns left), so a candidate stays only while its part plus `z` deviations
 reaches the query's worst kept neighbour, or while the largest value possible is below the exact bound's.
 
+The bar is set before the lists are scanned: a query's `k`-th best among a few thousand reference vectors of the
+sample. These count as found, whatever lists it probes. While a test leaves many
+candidates, the next block of columns is computed for the whole strip at once, later for what is left.
+
 A list and its queries meet in blocks: lists are cut into shards of at most SHARD vectors, queries of a list
 into groups of at most GROUP, so no task gathers a whole list. Shards give each query its best k; the
 best k of these are ranked by exact scores on the original vectors, ties to the smaller id.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or of
-another length than most. Rows that share an id are candidates of their own, except for their own query.
+another length than most. Rows that share an id count once, with the best score, and never for their own query.
 """
 
 from __future__ import annotations
@@ -33,9 +37,14 @@ K = 20
 EVERY = 20
 SAMPLE = 20_000
 MAX_LISTS = 1024
-PROBES = 0.8
+PROBES = 0.9
 Z = 3.0
 COLUMNS = 16
+REFERENCES = 4_096
+# Lists per square root of the number of vectors.
+LISTS = 0.25
+# Share of candidates above which the next block is computed for all of a strip.
+DENSE = 0.1
 SHARD = 20_000
 GROUP = 1_000
 STRIP = 2_048
@@ -48,6 +57,8 @@ FOUND = "query_id long, vec_id long, score double"
 class Index:
     rotation: np.ndarray
     centroids: np.ndarray
+    reference_ids: np.ndarray
+    references: np.ndarray
 
     @property
     def lists(self) -> int:
@@ -78,13 +89,14 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> I
         return None
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / float(1 << 40)
     drawn = vectors.withColumn("draw", draw).where(F.col("draw") <= min(1.0, 1.1 * sample / n + 0.001))
-    rows = drawn.orderBy("draw", "vec_id", "embedding").limit(sample).select("embedding").collect()
-    rows = rows or vectors.select("embedding").limit(1).collect()
+    rows = drawn.orderBy("draw", "vec_id", "embedding").limit(sample).select("vec_id", "embedding").collect()
+    rows = rows or vectors.select("vec_id", "embedding").limit(1).collect()
     x = np.array([r["embedding"] for r in rows])
+    reference_ids, references = np.array([r["vec_id"] for r in rows[:REFERENCES]]), x[:REFERENCES]
     random = np.random.default_rng(SEED)
     rotation = np.linalg.qr(random.normal(size=(x.shape[1], x.shape[1])))[0]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    count = min(lists or math.ceil(math.sqrt(n)), MAX_LISTS, len(x))
+    count = min(lists or math.ceil(LISTS * math.sqrt(n)), MAX_LISTS, len(x))
     centroids = x[random.choice(len(x), count, replace=False)]
     for _ in range(5):
         of = (x @ centroids.T).argmax(axis=1)
@@ -92,7 +104,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> I
         np.add.at(sums, of, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
-    return Index(rotation, centroids)
+    return Index(rotation, centroids, reference_ids, references)
 
 
 def listed(vectors: DataFrame, index: Index) -> DataFrame:
@@ -111,31 +123,51 @@ def listed(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, embedding array<double>, list int")
 
 
-def probing(queries: DataFrame, index: Index, probes: float) -> DataFrame:
-    """vec_id, embedding and probed list of every query, a row for each list."""
+def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFrame:
+    """vec_id, embedding, bar, probed lists and best references (ids, scores) of every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = index.probed(matrix(batch.column("embedding"), batch.num_rows), probes).astype(np.int32)
+            x, own = matrix(batch.column("embedding"), batch.num_rows), batch.column("vec_id").to_numpy()
+            probed, bars, ids, scores = [], [], [], []
+            for at in range(0, len(x), GROUP):
+                q = x[at : at + GROUP]
+                lists = index.probed(q, probes).astype(np.int32)
+                near = q @ index.references.T
+                near[own[at : at + GROUP, None] == index.reference_ids[None]] = -np.inf
+                for row, mine, vector in zip(near, lists, q):
+                    if len(row) >= k and np.isfinite(bar := np.partition(row, len(row) - k)[len(row) - k]):
+                        bar -= 1e-9 * np.linalg.norm(vector) * np.linalg.norm(index.references, axis=1).max()
+                    else:
+                        bar = -np.inf
+                    good = np.flatnonzero((row >= bar) & np.isfinite(row))
+                    probed.append(mine)
+                    bars.append(bar)
+                    ids.append(index.reference_ids[good])
+                    scores.append((vector * index.references[good]).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"), pa.array(list(lists), pa.list_(pa.int32()))],
-                names=["vec_id", "embedding", "lists"],
-            )
+                [
+                    batch.column("vec_id"), batch.column("embedding"), pa.array(bars, pa.float64()),
+                    pa.array(probed, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int64())),
+                    pa.array(scores, pa.list_(pa.float64())),
+                ],
+                names=["vec_id", "embedding", "bar", "lists", "ids", "scores"],
+            )
 
-    rows = queries.mapInArrow(run, "vec_id long, embedding array<double>, lists array<int>")
-    return rows.select("vec_id", "embedding", F.explode("lists").alias("list"))
+    schema = "vec_id long, embedding array<double>, bar double, lists array<int>, ids array<long>, scores array<double>"
+    return queries.mapInArrow(run, schema)
 
 
 def matrix(column: pa.ListArray, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int, z: float):
+def scan(queries, ids, vectors, own, rotation, k: int, z: float, bar=None):
     """Best k of one shard for each query: (query, place in the shard, exact score), in no order.
 
-    Vectors come in strips; the first strip sets the bar that the test holds later ones against.
+    Vectors come in strips. `bar` is what a query's candidates must reach; it rises with what is found.
     """
     q, x = queries @ rotation, vectors @ rotation
     n_columns = q.shape[1]
@@ -143,41 +175,45 @@ def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndar
     # Lengths of what is left from each edge on.
     left_q = np.stack([np.sqrt((q[:, e:] ** 2).sum(axis=1)) for e in edges], axis=1)
     left_x = np.stack([np.sqrt((x[:, e:] ** 2).sum(axis=1)) for e in edges], axis=1)
-    bar = np.full(len(q), -np.inf)
+    bar = np.full(len(q), -np.inf) if bar is None else bar.astype(np.float64).copy()
     kept_q, kept_x, kept_s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     for at in range(0, len(x), STRIP):
         strip = slice(at, at + STRIP)
-        part = q[:, : edges[1]] @ x[strip, : edges[1]].T
-        bound = part + _reach(left_q[:, 1][:, None], left_x[strip, 1][None], n_columns - edges[1], z)
-        who, what = np.nonzero((bound >= bar[:, None]) & (own[:, None] != ids[strip][None]))
-        partial = part[who, what]
-        what = what + at
-        for i in range(1, len(edges) - 1):
+        part = np.zeros((len(q), len(ids[strip])))
+        alive = own[:, None] != ids[strip][None]
+        i = 0
+        while i < len(edges) - 1 and alive.mean() > DENSE:
+            a, b = edges[i], edges[i + 1]
+            part += q[:, a:b] @ x[strip, a:b].T
+            i += 1
+            alive &= part + _reach(left_q[:, i][:, None], left_x[strip, i][None], n_columns - b, z) >= bar[:, None]
+        who, what = np.nonzero(alive)
+        partial, what = part[who, what], what + at
+        while i < len(edges) - 1:
             a, b = edges[i], edges[i + 1]
             partial = partial + np.einsum("ij,ij->i", q[who, a:b], x[what, a:b])
-            if b < n_columns:
-                stay = partial + _reach(left_q[who, i + 1], left_x[what, i + 1], n_columns - b, z) >= bar[who]
-                who, what, partial = who[stay], what[stay], partial[stay]
+            i += 1
+            stay = partial + _reach(left_q[who, i], left_x[what, i], n_columns - b, z) >= bar[who]
+            who, what, partial = who[stay], what[stay], partial[stay]
         # Equal vectors must tie exactly: scores are summed anew, row by row, on the originals.
-        slack = 1e-9 * left_q[who, 0] * left_x[what, 0]
-        stay = partial + slack >= bar[who]
-        who, what = who[stay], what[stay]
         exact = (queries[who] * vectors[what]).sum(axis=1)
         kept_q, kept_x, kept_s = np.append(kept_q, who), np.append(kept_x, what), np.append(kept_s, exact)
         order = np.lexsort((ids[kept_x], -kept_s, kept_q))
         kept_q, kept_x, kept_s = kept_q[order], kept_x[order], kept_s[order]
-        starts = np.searchsorted(kept_q, np.arange(len(q)))
-        rank = np.arange(len(kept_q)) - starts[kept_q]
+        rank = np.arange(len(kept_q)) - np.searchsorted(kept_q, np.arange(len(q)))[kept_q]
         top = rank < k
         kept_q, kept_x, kept_s, rank = kept_q[top], kept_x[top], kept_s[top], rank[top]
         last = rank == k - 1
-        bar[kept_q[last]] = kept_s[last] - 1e-9 * np.abs(kept_s[last]) - 1e-300
+        who = kept_q[last]
+        bar[who] = np.maximum(bar[who], kept_s[last] - 1e-9 * left_q[who, 0] * left_x[:, 0].max())
     return kept_q, kept_x, kept_s
 
 
 def _reach(left_q, left_x, columns: int, z: float):
     """How much the missing columns may add: z deviations, never more than the product of lengths."""
-    return left_q * left_x * min(1.0, z / math.sqrt(columns)) if columns else 0.0
+    if not columns:
+        return 0.0
+    return left_q * left_x * min(1.0, z / math.sqrt(columns))
 
 
 def neighbours(
@@ -190,7 +226,8 @@ def neighbours(
         empty = vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return empty.where("false")
     dealt = stage(listed(vectors, index), "listed")
-    asking = stage(probing(queries, index, probes), "asking")
+    asked_all = stage(probing(queries, index, probes, k), "asking")
+    asking = asked_all.select("vec_id", "embedding", "bar", F.explode("lists").alias("list"))
     # A number for each list: at most MAX_LISTS rows.
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     asked = asking.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
@@ -198,18 +235,20 @@ def neighbours(
     lettered = lambda n, column: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int").alias(column)
     every = lambda n, column: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(column)
     left = dealt.join(blocks, "list").select("list", lettered("shards", "shard"), every("groups", "group"), "vec_id", "embedding")
-    right = asking.join(blocks, "list").select("list", every("shards", "shard"), lettered("groups", "group"), "vec_id", "embedding")
+    right = asking.join(blocks, "list").select("list", every("shards", "shard"), lettered("groups", "group"), "vec_id", "embedding", "bar")
     key = ["list", "shard", "group"]
 
     def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, own = x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        found = scan(np.stack(q["embedding"]), ids, np.stack(x["embedding"]), own, index.rotation, k, z)
+        found = scan(np.stack(q["embedding"]), ids, np.stack(x["embedding"]), own, index.rotation, k, z, q["bar"].to_numpy())
         return pd.DataFrame({"query_id": own[found[0]], "vec_id": ids[found[1]], "score": found[2]})
 
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
-    # k rows for each probed shard of a query.
+    references = asked_all.select(F.col("vec_id").alias("query_id"), F.inline(F.arrays_zip("ids", "scores"))).toDF("query_id", "vec_id", "score")
+    # At most k rows for each probed shard of a query, and its best references.
+    found = found.union(references).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
