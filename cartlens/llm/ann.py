@@ -16,7 +16,8 @@ into groups of at most GROUP, so no task gathers a whole list. Shards give each
 best k of these are ranked by exact scores on the original vectors, ties to the smaller id.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or of
-another length than most. Rows that share an id count once, with the best score, and never for their own query.
+another length than most. Rows that share an id count once, with the best score, and never for their own query:
+equal rows are folded first, and every bar is that of the `k`-th best id, not row.
 """
 
 from __future__ import annotations
@@ -83,16 +84,18 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> Index | None:
-    """A rotation and centroids from up to `sample` vectors, drawn by a hash of the id."""
+    """A rotation and centroids from up to `sample` vectors, drawn by a hash of the row; references sorted by id."""
     n = vectors.count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 40)) / float(1 << 40)
     drawn = vectors.withColumn("draw", draw).where(F.col("draw") <= min(1.0, 1.1 * sample / n + 0.001))
     rows = drawn.orderBy("draw", "vec_id", "embedding").limit(sample).select("vec_id", "embedding").collect()
     rows = rows or vectors.select("vec_id", "embedding").limit(1).collect()
     x = np.array([r["embedding"] for r in rows])
-    reference_ids, references = np.array([r["vec_id"] for r in rows[:REFERENCES]]), x[:REFERENCES]
+    reference_ids = np.array([r["vec_id"] for r in rows[:REFERENCES]])
+    by_id = np.argsort(reference_ids, kind="stable")
+    reference_ids, references = reference_ids[by_id], x[:REFERENCES][by_id]
     random = np.random.default_rng(SEED)
     rotation = np.linalg.qr(random.normal(size=(x.shape[1], x.shape[1])))[0]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -126,6 +129,8 @@ def listed(vectors: DataFrame, index: Index) -> DataFrame:
 def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFrame:
     """vec_id, embedding, bar, probed lists and best references (ids, scores) of every query."""
 
+    firsts = runs(index.reference_ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -137,16 +142,19 @@ def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFram
                 lists = index.probed(q, probes).astype(np.int32)
                 near = q @ index.references.T
                 near[own[at : at + GROUP, None] == index.reference_ids[None]] = -np.inf
-                for row, mine, vector in zip(near, lists, q):
-                    if len(row) >= k and np.isfinite(bar := np.partition(row, len(row) - k)[len(row) - k]):
+                of_ids = np.maximum.reduceat(near, firsts, axis=1)
+                for row, best, mine, vector in zip(near, of_ids, lists, q):
+                    if len(best) >= k and np.isfinite(bar := np.partition(best, len(best) - k)[len(best) - k]):
                         bar -= 1e-9 * np.linalg.norm(vector) * np.linalg.norm(index.references, axis=1).max()
                     else:
                         bar = -np.inf
                     good = np.flatnonzero((row >= bar) & np.isfinite(row))
                     probed.append(mine)
                     bars.append(bar)
-                    ids.append(index.reference_ids[good])
-                    scores.append((vector * index.references[good]).sum(axis=1))
+                    exact, found = (vector * index.references[good]).sum(axis=1), index.reference_ids[good]
+                    starts = runs(found)
+                    ids.append(found[starts])
+                    scores.append(np.maximum.reduceat(exact, starts) if len(starts) else exact)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"), batch.column("embedding"), pa.array(bars, pa.float64()),
@@ -160,12 +168,17 @@ def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFram
     return queries.mapInArrow(run, schema)
 
 
+def runs(ids: np.ndarray) -> np.ndarray:
+    """Where each run of equal ids starts."""
+    return np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+
+
 def matrix(column: pa.ListArray, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
 def scan(queries, ids, vectors, own, rotation, k: int, z: float, bar=None):
-    """Best k of one shard for each query: (query, place in the shard, exact score), in no order.
+    """Best k ids of one shard for each query: (query, place in the shard of the id's best row, exact score), in no order.
 
     Vectors come in strips. `bar` is what a query's candidates must reach; it rises with what is found.
     """
@@ -198,7 +211,11 @@ def scan(queries, ids, vectors, own, rotation, k: int, z: float, bar=None):
         # Equal vectors must tie exactly: scores are summed anew, row by row, on the originals.
         exact = (queries[who] * vectors[what]).sum(axis=1)
         kept_q, kept_x, kept_s = np.append(kept_q, who), np.append(kept_x, what), np.append(kept_s, exact)
-        order = np.lexsort((ids[kept_x], -kept_s, kept_q))
+        # The best row of each id alone, so that rows of one id take one of the k places.
+        order = np.lexsort((-kept_s, ids[kept_x], kept_q))
+        of, by = ids[kept_x[order]], kept_q[order]
+        order = order[np.append(True, (of[1:] != of[:-1]) | (by[1:] != by[:-1]))[: len(order)]]
+        order = order[np.lexsort((ids[kept_x[order]], -kept_s[order], kept_q[order]))]
         kept_q, kept_x, kept_s = kept_q[order], kept_x[order], kept_s[order]
         rank = np.arange(len(kept_q)) - np.searchsorted(kept_q, np.arange(len(q)))[kept_q]
         top = rank < k
@@ -220,7 +237,7 @@ def neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = PROBES, z: float = Z, index: Index | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the `k` best of `vectors` for each of `queries` (vec_id, embedding)."""
-    vectors, queries = stage(usable(vectors), "vectors"), usable(queries)
+    vectors, queries = stage(usable(vectors).distinct(), "vectors"), usable(queries).distinct()
     index = index or fit(vectors)
     if index is None:
         empty = vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -232,7 +249,8 @@ def neighbours(
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     asked = asking.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
     blocks = F.broadcast(stage(sizes.join(asked, "list"), "blocks"))
-    lettered = lambda n, column: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int").alias(column)
+    # By the row: an id that stands in very many different rows is spread over shards and groups.
+    lettered = lambda n, column: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int").alias(column)
     every = lambda n, column: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(column)
     left = dealt.join(blocks, "list").select("list", lettered("shards", "shard"), every("groups", "group"), "vec_id", "embedding")
     right = asking.join(blocks, "list").select("list", every("shards", "shard"), lettered("groups", "group"), "vec_id", "embedding", "bar")

@@ -280,6 +280,38 @@ def test_scan_in_strips(monkeypatch):
         assert sorted(what[who == i]) == sorted(expected)
 
 
+def test_repeated_rows_take_one_place(spark, monkeypatch):
+    """Every row twice, and one id in a third of all rows, near everything: k ids are found, not k rows."""
+    monkeypatch.setattr(ann, "SHARD", 200)
+    draw = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(draw.normal(size=(240, 12)).tolist())] * 2
+    rows += [(1000, (np.array(rows[20 * (i % 12)][1]) * 3 + draw.normal(size=12) / 9).tolist()) for i in range(240)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id % 20 = 0 AND vec_id < 1000")
+    found = defaultdict(list)
+    for r in ann.neighbours(vectors, queries, probes=1.0, z=1e9).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in range(0, 240, 20):
+        best = {}
+        for i, score in zip(ids.tolist(), (x @ x[q]).tolist()):
+            best[i] = max(score, best.get(i, score))
+        del best[q]
+        assert [v for _, v in sorted(found[q])] == sorted(best, key=lambda i: -best[i])[:20]
+
+
+def test_scan_keeps_the_best_row_of_each_id():
+    draw = np.random.default_rng(7)
+    x, q = draw.normal(size=(300, 40)), draw.normal(size=(4, 40))
+    ids = np.arange(300) % 30
+    rotation = np.linalg.qr(draw.normal(size=(40, 40)))[0]
+    who, what, _ = ann.scan(q, ids, x, np.full(4, -1), rotation, 20, z=1e9)
+    for i in range(4):
+        scores = x @ q[i]
+        best = sorted(range(30), key=lambda v: -scores[v::30].max())[:20]
+        assert sorted(ids[what[who == i]]) == sorted(best)
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 
