@@ -16,8 +16,9 @@ document with a smaller id or further left in the same document.
 Rows of equal regions are folded within each slice of text before they are shuffled, so what very many
 documents share arrives as one row per slice. Very long texts are cut into overlapping segments.
 
-Texts are held apart by id and a hash of the text: rows that share an id are one document as far as
-order goes, and equal places in them do not count as earlier. A null id comes after all others.
+Texts are held apart by id and 80 bits of hashes of the text (64 in `hash`, 16 in `version`, which also has
+the length): rows that share an id are one document as far as order goes, and equal places in them do not
+count as earlier, but cuts go back to the text they came from. A null id comes after all others.
 """
 
 from __future__ import annotations
@@ -191,21 +192,27 @@ def repeats_of(same: tuple[np.ndarray, ...]) -> np.ndarray:
     return equal
 
 
-ROW = "h long, r long, key long, place long"
-MET = "kind int, h long, key long, place long"
+ROW = "h long, r long, key long, hash long, place long"
+MET = "kind int, h long, key long, hash long, place long"
+FOUND = "key long, hash long, place long"
+# What tells texts apart.
+TEXT = ("key", "hash", "version")
 
 
 def keyed(docs: DataFrame, **more: str) -> DataFrame:
-    """key, version, doc_id, text and the columns `more` of every row."""
+    """key, hash, version, doc_id, text and the columns `more` of every row."""
     rows = pick(docs, doc_id="long", text="string", **more)
-    version = F.pmod(F.xxhash64("text"), F.lit(1 << 16))
-    return rows.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), version.alias("version"), *rows.columns)
+    # Another seed and the length: independent of `hash`.
+    version = F.pmod(F.xxhash64(F.lit(1), F.octet_length("text"), "text"), F.lit(1 << 16))
+    key = F.coalesce("doc_id", F.lit(NULL_KEY))
+    return rows.select(key.alias("key"), F.xxhash64("text").alias("hash"), version.alias("version"), *rows.columns)
 
 
 def winnowed(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parted(batches):
             keys = batch.column("key").to_numpy()
+            hashes = batch.column("hash").to_numpy()
             versions = batch.column("version").to_numpy()
             parts, owners, bases = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -220,27 +227,28 @@ def winnowed(unit: Unit) -> Callable:
                 key = keys[row]
                 order = np.lexsort((lo, key, r, h))
                 key, lo, n, off, h, r = (x[order] for x in (key, lo, n, off, h, r))
-                place = packed(versions[row[order]], off, n, lo)
+                row = row[order]
+                place = packed(versions[row], off, n, lo)
                 # An equal region of the same slice comes before: decided, and dealt by any key.
                 done = repeats_of((h, r)) & ~repeats_of((h, r, key, lo))
                 place[done] |= -(1 << 63)
                 h[done] = mixed(key[done].astype(np.uint64) * np.uint64(31) + lo[done].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(key), pa.array(place)],
-                    names=["h", "r", "key", "place"],
+                    [pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(key), pa.array(hashes[row]), pa.array(place)],
+                    names=["h", "r", "key", "hash", "place"],
                 )
 
     return run
 
 
-def met_rows(h, r, key, place) -> tuple[np.ndarray, ...]:
-    """What rows that share anchors say: kind, h, key, place; single rows say nothing."""
+def met_rows(h, r, key, text, place) -> tuple[np.ndarray, ...]:
+    """What rows that share anchors say: kind, h, key, hash, place; single rows say nothing."""
     done = place < 0
-    out = [(np.zeros(int(done.sum()), np.int32), h[done], key[done], place[done] & ((1 << 63) - 1))]
-    h, r, key, place = (x[~done] for x in (h, r, key, place))
+    out = [(np.zeros(int(done.sum()), np.int32), h[done], key[done], text[done], place[done] & ((1 << 63) - 1))]
+    h, r, key, text, place = (x[~done] for x in (h, r, key, text, place))
     lo = unpacked(place)[3]
-    order = np.lexsort((place, lo, key, r, h))
-    h, r, key, place, lo = (x[order] for x in (h, r, key, place, lo))
+    order = np.lexsort((place, text, lo, key, r, h))
+    h, r, key, text, place, lo = (x[order] for x in (h, r, key, text, place, lo))
     if len(h):
         later = repeats_of((h, r))
         again = repeats_of((h, r, key, lo))
@@ -248,12 +256,13 @@ def met_rows(h, r, key, place) -> tuple[np.ndarray, ...]:
         first = ~later
         for_first = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         early = (key == key[for_first]) & (lo == lo[for_first])
-        out.append((np.zeros(int((later & ~early).sum()), np.int32), h[later & ~early], key[later & ~early], place[later & ~early]))
+        gone = later & ~early
+        out.append((np.zeros(int(gone.sum()), np.int32), h[gone], key[gone], text[gone], place[gone]))
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         different = np.bincount(group, first)
-        start = early & (different[group] > 1) & ~(again & repeats_of((place,)))
+        start = early & (different[group] > 1) & ~(again & repeats_of((text, place)))
         kind = np.where(different[group[start]] > WIDE, SINGLE, CANDIDATE).astype(np.int32)
-        out.append((kind, h[start], key[start], place[start]))
+        out.append((kind, h[start], key[start], text[start], place[start]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -261,47 +270,52 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by h, taken in stretches that hold whole anchors, or parts of a very wide one."""
 
     def batch_of(columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "h", "key", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "h", "key", "hash", "place"])
+
+    def part(rows, start: int, end: int | None = None) -> tuple[np.ndarray, ...]:
+        return tuple(x[start:end] for x in rows)
 
     held: list[tuple[np.ndarray, ...]] = []
     wide = None  # an anchor of which parts were given away already
     for batch in batches:
-        held.append(tuple(batch.column(i).to_numpy() for i in range(4)))
+        held.append(tuple(batch.column(i).to_numpy() for i in range(5)))
         if sum(len(x[0]) for x in held) < ROWS:
             continue
-        h, r, key, place = (np.concatenate(x) for x in zip(*held))
+        rows = tuple(np.concatenate(x) for x in zip(*held))
+        h = rows[0]
         cut = int(np.searchsorted(h, h[-1]))
         if wide is not None and (n := int(np.searchsorted(h, wide, side="right"))):
-            yield batch_of(_apart(h[:n], r[:n], key[:n], place[:n]))
-            h, r, key, place, cut = h[n:], r[n:], key[n:], place[n:], max(cut - n, 0)
+            yield batch_of(_apart(*part(rows, 0, n)))
+            rows, cut = part(rows, n), max(cut - n, 0)
+            h = rows[0]
         if cut:
-            yield batch_of(met_rows(h[:cut], r[:cut], key[:cut], place[:cut]))
+            yield batch_of(met_rows(*part(rows, 0, cut)))
             wide = None
         if len(h) - cut >= ROWS:
-            yield batch_of(_apart(h[cut:], r[cut:], key[cut:], place[cut:]))
+            yield batch_of(_apart(*part(rows, cut)))
             wide, cut = h[-1], len(h)
-        held = [(h[cut:], r[cut:], key[cut:], place[cut:])]
+        held = [part(rows, cut)]
     if held:
-        h, r, key, place = (np.concatenate(x) for x in zip(*held))
-        n = int(np.searchsorted(h, wide, side="right")) if wide is not None else 0
+        rows = tuple(np.concatenate(x) for x in zip(*held))
+        n = int(np.searchsorted(rows[0], wide, side="right")) if wide is not None else 0
         if n:
-            yield batch_of(_apart(h[:n], r[:n], key[:n], place[:n]))
-        yield batch_of(met_rows(h[n:], r[n:], key[n:], place[n:]))
+            yield batch_of(_apart(*part(rows, 0, n)))
+        yield batch_of(met_rows(*part(rows, n)))
 
 
-def _apart(h, r, key, place) -> tuple[np.ndarray, ...]:
+def _apart(h, r, key, text, place) -> tuple[np.ndarray, ...]:
     """Rows of one anchor with too many regions to be held: first ones are compared window by window."""
     done = place < 0
     lo = unpacked(place)[3]
     order = np.lexsort((lo, key, r))
-    h, r, key, place, done, lo = (x[order] for x in (h, r, key, place, done, lo))
+    h, r, key, text, place, done, lo = (x[order] for x in (h, r, key, text, place, done, lo))
     later = repeats_of((r,)) & ~repeats_of((r, key, lo)) | done
-    return np.where(later, REMOVED, SINGLE).astype(np.int32), h, key, place & ((1 << 63) - 1)
+    return np.where(later, REMOVED, SINGLE).astype(np.int32), h, key, text, place & ((1 << 63) - 1)
 
 
 def meetings(docs: DataFrame, unit: Unit) -> DataFrame:
     """Decided and undecided regions of `docs` (from `keyed`), written down."""
-    rows = docs.where(F.col("text").isNotNull()).select("key", "version", "text").mapInArrow(winnowed(unit), ROW)
+    rows = docs.where(F.col("text").isNotNull()).select(*TEXT, "text").mapInArrow(winnowed(unit), ROW)
     return stage(rows.repartition("h").sortWithinPartitions("h").mapInArrow(meet, MET), "met")
 
 
@@ -311,25 +325,24 @@ WINDOWS = "shiftright(place, 31) & 255"
 
 def with_texts(docs: DataFrame, found: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`function` over the texts that `found` rows point into, each with its list of (h, place)."""
-    wanted = found.groupBy("key", F.expr(VERSION).alias("version")).agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
-    # Rows that share id and text would give each region twice.
-    once = docs.where(F.col("text").isNotNull()).select("key", "version", "text")
-    return once.join(wanted, ["key", "version"]).mapInArrow(function, schema)
+    wanted = found.groupBy("key", "hash", F.expr(VERSION).alias("version")).agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
+    # With all columns, so that the texts are shuffled once for this and for the cuts.
+    return docs.join(wanted, [*TEXT]).mapInArrow(function, schema)
 
 
 def cut_regions(unit: Unit) -> Callable:
-    """h, key, place and content of candidate regions: bytes, or 16 bytes for each word."""
+    """h, key, hash, place and content of candidate regions: bytes, or 16 bytes for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parted(batches):
-            out: list[tuple[int, int, int, bytes]] = []
-            columns = (batch.column(c).to_pylist() for c in ("key", "text", "wanted"))
-            for key, text, wanted in zip(*columns):
+            out: list[tuple[int, int, int, int, bytes]] = []
+            columns = (batch.column(c).to_pylist() for c in ("key", "hash", "text", "wanted"))
+            for key, hashed, text, wanted in zip(*columns):
                 data = text.encode()
                 if not unit.words:
                     for w in wanted:
                         n, lo = w["place"] >> 31 & 255, w["place"] & (1 << 31) - 1
-                        out.append((w["h"], key, w["place"], data[lo : lo + n + unit.window - 1]))
+                        out.append((w["h"], key, hashed, w["place"], data[lo : lo + n + unit.window - 1]))
                     continue
                 left = sorted(wanted, key=lambda w: w["place"] & (1 << 31) - 1)
                 for base, part in unit.segments(data):
@@ -339,27 +352,27 @@ def cut_regions(unit: Unit) -> Callable:
                         n, lo = w["place"] >> 31 & 255, (w["place"] & (1 << 31) - 1) - base
                         end = lo + n + unit.window - 1
                         if lo >= 0 and end <= len(both):
-                            out.append((w["h"], key, w["place"], both[lo:end].tobytes()))
+                            out.append((w["h"], key, hashed, w["place"], both[lo:end].tobytes()))
                         else:
                             rest.append(w)
                     left = rest
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*out)) if out else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "key", "place", "content"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "key", "hash", "place", "content"]
             )
 
     return run
 
 
 def single_windows(unit: Unit) -> Callable:
-    """Every window of very common anchors by two hashes: key, version and place of the window."""
+    """Every window of very common anchors by two hashes: key, hash, version and place of the window."""
     inner = cut_regions(unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in inner(batches):
             out = []
-            for key, place, content in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "content"))):
+            for key, hashed, place, content in zip(*(batch.column(c).to_pylist() for c in ("key", "hash", "place", "content"))):
                 version, _, n, lo = (int(x) for x in unpacked(np.int64(place)))
                 if unit.words:
                     first, second = np.frombuffer(content, np.uint64).reshape(-1, 2).T
@@ -367,41 +380,42 @@ def single_windows(unit: Unit) -> Callable:
                     data = np.frombuffer(content, np.uint8)
                     first, second = TABLES[0][data], TABLES[1][data]
                 a, b = Sums(first, BASES[0]).all_of(unit.window)[:n], Sums(second, BASES[1]).all_of(unit.window)[:n]
-                out.append((a, b, np.full(n, key, np.int64), packed(version, 0, 1, lo + np.arange(n))))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+                whose = np.full(n, key, np.int64), np.full(n, hashed, np.int64)
+                out.append((a, b, *whose, packed(version, 0, 1, lo + np.arange(n))))
+            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)) for c in columns], names=["h", "r", "key", "place"]
+                [pa.array(c.view(np.int64)) for c in columns], names=["h", "r", "key", "hash", "place"]
             )
 
     return run
 
 
 def removed_windows(docs: DataFrame, unit: Unit, compare: Callable) -> DataFrame:
-    """key and place of every stretch of repeated windows of `docs` (from `keyed`).
+    """key, hash and place of every stretch of repeated windows of `docs` (from `keyed`).
 
-    `compare` takes batches of h, key, place, content sorted by h and gives key and place.
+    `compare` takes batches of h, key, hash, place, content sorted by h and gives key, hash and place.
     """
     met = meetings(docs, unit)
-    out = met.where(F.col("kind") == REMOVED).select("key", "place")
-    cut = with_texts(docs, met.where(F.col("kind") == CANDIDATE), cut_regions(unit), "h long, key long, place long, content binary")
-    out = out.union(cut.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "key long, place long"))
+    out = met.where(F.col("kind") == REMOVED).select("key", "hash", "place")
+    cut = with_texts(docs, met.where(F.col("kind") == CANDIDATE), cut_regions(unit), f"h long, {FOUND}, content binary")
+    out = out.union(cut.repartition("h").sortWithinPartitions("h").mapInArrow(compare, FOUND))
     common = met.where(F.col("kind") == SINGLE)
     if not common.isEmpty():
         windows = stage(with_texts(docs, common, single_windows(unit), ROW), "windows")
         at = F.struct("key", F.expr(FIRST).alias("lo"))
         firsts = windows.groupBy("h", "r").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         later = windows.join(firsts, ["h", "r"]).where(at > F.col("first"))
-        out = out.union(later.select("key", "place"))
+        out = out.union(later.select("key", "hash", "place"))
     return out
 
 
 def cuts(removed: DataFrame, unit: Unit) -> DataFrame:
     """The stretches of each text, [first, end) in elements."""
     ranges = removed.select(
-        "key", F.expr(VERSION).alias("version"),
+        "key", "hash", F.expr(VERSION).alias("version"),
         F.struct(F.expr(FIRST).alias("first"), F.expr(f"({FIRST}) + ({WINDOWS}) + {unit.window - 1}").alias("end")).alias("cut"),
     )
-    return ranges.groupBy("key", "version").agg(F.collect_list("cut").alias("cuts"))
+    return ranges.groupBy(*TEXT).agg(F.collect_list("cut").alias("cuts"))
 
 
 def without_repeats(
@@ -410,7 +424,7 @@ def without_repeats(
     """`function` over doc_id, text, `more` and the stretches to cut (null: none) of every row of `docs`."""
     rows = keyed(docs, **more)
     found = cuts(removed_windows(rows, unit, compare), unit)
-    joined = rows.join(found, ["key", "version"], "left").drop("key", "version")
+    joined = rows.join(found, [*TEXT], "left").drop(*TEXT)
     return joined.mapInArrow(function, schema)
 
 
@@ -424,20 +438,20 @@ def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
 
 
 def whole_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
-    """h, key, place (arrays) and contents (list) of sorted rows, in stretches of about `limit` bytes
+    """h, key, hash, place (arrays) and contents (list) of sorted rows, in stretches of about `limit` bytes
     that hold whole anchors."""
     held, size = [], 0
     for batch in batches:
-        held.append((*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_pylist()))
-        size += batch.column(3).nbytes
+        held.append((*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist()))
+        size += batch.column(4).nbytes
         if size < limit:
             continue
-        h, key, place = (np.concatenate([x[i] for x in held]) for i in range(3))
-        contents = [c for x in held for c in x[3]]
-        cut = int(np.searchsorted(h, h[-1]))
+        columns = [np.concatenate([x[i] for x in held]) for i in range(4)]
+        contents = [c for x in held for c in x[4]]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
         if cut:
-            yield h[:cut], key[:cut], place[:cut], contents[:cut]
-        held = [(h[cut:], key[cut:], place[cut:], contents[cut:])]
+            yield (*(c[:cut] for c in columns), contents[:cut])
+        held = [(*(c[cut:] for c in columns), contents[cut:])]
         size = sum(map(len, contents[cut:]))
     if held:
-        yield (*(np.concatenate([x[i] for x in held]) for i in range(3)), [c for x in held for c in x[3]])
+        yield (*(np.concatenate([x[i] for x in held]) for i in range(4)), [c for x in held for c in x[4]])

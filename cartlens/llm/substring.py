@@ -29,15 +29,17 @@ SLICE = 8 << 20
 
 def extend(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, key, place, contents in whole_rows(batches, SLICE):
-            out_key, out_place = later_windows(unit, h, key, place, contents)
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_place)], names=["key", "place"])
+        for h, key, text, place, contents in whole_rows(batches, SLICE):
+            row, out_place = later_windows(unit, h, key, place, contents)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[row]), pa.array(text[row]), pa.array(out_place)], names=["key", "hash", "place"]
+            )
 
     return run
 
 
 def later_windows(unit: Unit, h, key, place, contents) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of these regions that another one has at an earlier place."""
+    """Rows and places of the windows of these regions that another one has at an earlier place."""
     version, off, n, lo = unpacked(place)
     rows = len(h)
     sizes = np.array([len(c) // 16 for c in contents], np.int64)
@@ -74,7 +76,7 @@ def later_windows(unit: Unit, h, key, place, contents) -> tuple[np.ndarray, np.n
         found_rows.append(mine[later])
         found.append(start[later])
     found_rows, found = np.concatenate(found_rows), np.concatenate(found)
-    return key[found_rows], packed(version[found_rows], 0, 1, found)
+    return found_rows, packed(version[found_rows], 0, 1, found)
 
 
 def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,15 +176,17 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
 
 def compare(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, key, place, contents in whole_rows(batches, SHARD):
-            out_key, out_place = later_windows(unit, key, place, contents)
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_place)], names=["key", "place"])
+        for _, key, text, place, contents in whole_rows(batches, SHARD):
+            row, out_place = later_windows(unit, key, place, contents)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[row]), pa.array(text[row]), pa.array(out_place)], names=["key", "hash", "place"]
+            )
 
     return run
 
 
 def later_windows(unit: Unit, key, place, contents) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of windows of a shard that start earlier somewhere else in it."""
+    """Rows and places of the stretches of windows of a shard that start earlier somewhere else in it."""
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     version, _, n, lo = unpacked(place)
@@ -219,7 +221,7 @@ def later_windows(unit: Unit, key, place, contents) -> tuple[np.ndarray, np.ndar
     new = np.flatnonzero(np.concatenate([[True], (np.diff(later) != 1) | (np.diff(row) != 0)]))
     count = np.diff(np.append(new, len(later)))
     row, later = row[new], later[new]
-    return key[row], packed(version[row], 0, count, lo[row] + later - begins[row])
+    return row, packed(version[row], 0, count, lo[row] + later - begins[row])
 
 
 def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

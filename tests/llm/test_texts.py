@@ -91,6 +91,16 @@ def test_odd_documents(spark, monkeypatch, wide, rows):
     monkeypatch.undo()
 
 
+def test_texts_without_an_id_keep_their_own_cuts(spark):
+    """A few thousand rows without an id: far more than 16 bits of a hash tell apart."""
+    shared = [prose(f"shared {i}", 40) for i in range(5)]
+    plain = [(None, " ".join([prose(f"{i} a", i % 7), shared[i % 5] if i % 3 else "", prose(f"{i} b", 25 + i % 11)])) for i in range(3000)]
+    plain += [(1, shared[0]), (None, plain[5][1]), (None, None)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    assert collected(substring.digest(substring.substring_dedup(docs)), *WORD_COLUMNS) == word_digests(plain)
+    assert collected(suffix.digest(suffix.suffix_dedup(docs)), *BYTE_COLUMNS) == byte_digests(plain)
+
+
 def test_segments_hold_all_windows(monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 500)
     text = prose("segments", 700).encode()
