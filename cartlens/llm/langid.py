@@ -38,8 +38,10 @@ PER_LANGUAGE = 1500
 MAX_LANGUAGES = 200
 WINDOWS = 2
 EPOCHS = 6
-# A text that no language gets this probability for is in none of the learned ones.
+# A text that no language gets this probability for, or OVER_CHANCE times an even share of it if that is less, is
+# in none of the learned ones.
 LEAST_SCORE = 0.3
+OVER_CHANCE = 1.2
 LETTER = regex.compile(r"\p{L}")
 # Response of the padding behind a short text: never the largest in a window.
 PAD = -1e3
@@ -212,13 +214,20 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
 
 
-def with_known_language(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose text is in a learned language."""
+def least_score(network: Network | None) -> float:
+    """The least probability for a text to be in a learned language: the more there are, the lower."""
+    return min(LEAST_SCORE, OVER_CHANCE / len(network.languages)) if network else 0.0
+
+
+def with_known_language(docs: DataFrame, network: Network | None, least: float | None = None) -> DataFrame:
+    """The documents whose text is in a learned language (`least_score`); all that have a letter if there is no network."""
+    least = least_score(network) if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parted(batches):
-            languages, scores = predict(network, batch.column("text").to_pylist())
-            known = [lang != UNKNOWN and score >= least for lang, score in zip(languages, scores)]
+            texts = batch.column("text").to_pylist()
+            _, scores = predict(network, texts)
+            known = [bool(text and LETTER.search(text)) and score >= least for text, score in zip(texts, scores)]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     docs = documents(docs)

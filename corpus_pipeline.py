@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones; those without a letter go."""
+    """Documents in one of the languages learned from the labelled ones; those without a letter go (all others stay if none is labelled)."""
     return with_known_language(docs, language_model(docs))
 
 

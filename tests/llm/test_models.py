@@ -101,6 +101,20 @@ def test_language_of_odd_documents(spark):
     assert {r.lang_pred for r in langid.language_id(unlabelled).collect()} == {"und"}
 
 
+def test_known_language_of_many_or_none(spark):
+    """Ten languages, the best with 2 / 11: above an even share. Nothing learned: whatever has a letter stays."""
+    width = len(langid.WIDTHS) * langid.FILTERS
+    tables = {w: np.zeros((w, 256, langid.FILTERS), np.float32) for w in langid.WIDTHS}
+    offset = np.log(np.array([2.0] + [1.0] * 9))
+    network = langid.Network([f"l{i}" for i in range(10)], tables, np.zeros(width), np.zeros((width, 10)), offset)
+    docs = odd_documents(spark)
+    lettered = sorted(str(text) for _, text, *_ in odd_rows() if text and re.search(r"[^\W\d_]", text))
+    for learned in (network, None):
+        assert sorted(r.text for r in langid.with_known_language(docs, learned).collect()) == lettered
+    network.offset = np.zeros(10)
+    assert langid.with_known_language(docs, network).collect() == []
+
+
 def test_network_pairs_equal_plain_filters():
     draw = np.random.default_rng(0)
     windows = draw.integers(1, 256, (5, langid.WINDOW), dtype=np.uint8)
