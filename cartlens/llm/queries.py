@@ -11,11 +11,12 @@ from cartlens.llm import substring, suffix
 from cartlens.llm.ann import self_neighbours
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
+from cartlens.llm.merkle import verified_manifest
 from cartlens.llm.mixing import mix
 from cartlens.llm.packing import pack
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
-from cartlens.llm.sql import OP1
+from cartlens.llm.sql import OP1, OP12
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
@@ -64,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_language_id": op2_language_id,
@@ -75,7 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_token_counts": op10_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 # DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op1_pareto_mix": OP1}
+ORACLE: dict[str, str] = {"op1_pareto_mix": OP1, "op12_merkle_manifest": OP12}

@@ -65,3 +65,65 @@ SELECT z.doc_id, z.size::BIGINT AS size, z.source_size, z.target,
 FROM z LEFT JOIN c
   ON z.source IS NOT DISTINCT FROM c.source AND z.place = c.place AND z.doc_id IS NOT DISTINCT FROM c.doc_id AND z.size = c.size
 """
+
+# A digest of each row, trees by language and one over them, level by level; proofs and folds step by step.
+OP12 = r"""
+WITH RECURSIVE leaf AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, *,
+         sha256(concat(i, s, l, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), t)) AS leaf,
+         sha256(concat(i, s, l, coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-'), t)) AS altered,
+  FROM (
+    SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS i,
+           coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS l,
+           coalesce(strlen(text) || ':' || text, '-') AS t
+    FROM documents
+  )
+),
+placed AS MATERIALIZED (
+  SELECT row, doc_id, n_chars, coalesce('=' || lang, '') AS tree, leaf, altered,
+         -- CRC-32 of the decimal digits, bit by bit (-1: one shift).
+         xor(list_reduce([4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')]),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS crc,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM leaf
+),
+low AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM low WHERE n > 1 GROUP BY tree, level + 1, place // 2, (n + 1) // 2
+),
+tops AS MATERIALIZED (
+  SELECT tree, digest, level, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1
+),
+high AS (
+  SELECT 0 AS level, place, n, digest FROM tops
+  UNION ALL
+  SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM high WHERE n > 1 GROUP BY level + 1, place // 2, (n + 1) // 2
+),
+-- Each row's way up: its node on every level below the top of its own tree and then of the last one.
+siblings AS MATERIALIZED (
+  SELECT p.row, l.level, p.place >> l.level AS place, n.digest
+  FROM placed p JOIN tops t USING (tree), LATERAL (SELECT unnest(range(t.level)) AS level) l
+  LEFT JOIN low n ON n.tree = p.tree AND n.level = l.level AND n.place = xor(p.place >> l.level, 1)
+  UNION ALL
+  SELECT p.row, t.level + l.level, t.place >> l.level, n.digest
+  FROM placed p JOIN tops t USING (tree), LATERAL (SELECT unnest(range((SELECT max(level) FROM high))) AS level) l
+  LEFT JOIN high n ON n.level = l.level AND n.place = xor(t.place >> l.level, 1)
+),
+fold AS (
+  SELECT row, 0 AS level, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN altered ELSE leaf END AS digest FROM placed
+  UNION ALL
+  SELECT f.row, f.level + 1, sha256(
+    CASE WHEN s.digest IS NULL THEN f.digest WHEN s.place % 2 = 1 THEN s.digest || f.digest ELSE f.digest || s.digest END)
+  FROM fold f JOIN siblings s ON s.row = f.row AND s.level = f.level
+),
+ends AS (SELECT row, max_by(digest, level) AS digest FROM fold GROUP BY row),
+proofs AS (SELECT row, sha256(string_agg(digest, '' ORDER BY level)) AS digest FROM siblings WHERE digest IS NOT NULL GROUP BY row)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, r.digest AS root, coalesce(q.digest, sha256('')) AS proof_sha256,
+       e.digest AS folded_root, e.digest = r.digest AS verified
+FROM placed p JOIN tops t USING (tree) JOIN ends e USING (row) LEFT JOIN proofs q USING (row)
+CROSS JOIN (SELECT digest FROM high WHERE n = 1) r
+"""
