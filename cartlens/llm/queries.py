@@ -14,9 +14,10 @@ from cartlens.llm.langid import language_id
 from cartlens.llm.merkle import verified_manifest
 from cartlens.llm.mixing import mix
 from cartlens.llm.packing import pack
+from cartlens.llm.phrases import collocations
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
-from cartlens.llm.sql import OP1, OP12
+from cartlens.llm.sql import OP1, OP11, OP12
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(read(spark, sf_dir, "documents"))
 
@@ -80,8 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 # DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op1_pareto_mix": OP1, "op12_merkle_manifest": OP12}
+ORACLE: dict[str, str] = {"op1_pareto_mix": OP1, "op11_phrase_collocations": OP11, "op12_merkle_manifest": OP12}

@@ -127,3 +127,41 @@ SELECT p.doc_id, p.leaf, t.digest AS subroot, r.digest AS root, coalesce(q.diges
 FROM placed p JOIN tops t USING (tree) JOIN ends e USING (row) LEFT JOIN proofs q USING (row)
 CROSS JOIN (SELECT digest FROM high WHERE n = 1) r
 """
+
+OP11 = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+),
+grams AS (
+  SELECT lang, unnest(flatten([[words[i : i + n - 1] FOR i IN range(1, len(words) - n + 2)] FOR n IN [1, 2, 3, 4]])) AS gram FROM pieces
+),
+f AS MATERIALIZED (
+  SELECT lang, gram, array_to_string(gram, ' ') AS phrase, len(gram) AS words, count(*) AS times FROM grams GROUP BY lang, gram HAVING count(*) >= 30
+),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.gram, c.phrase, c.times AS a, k, x.times AS l, y.times AS r,
+         (2000000 * c.times::HUGEINT // (x.times::HUGEINT + y.times))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1) c
+  JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1 :]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+contained AS (
+  SELECT lang, gram, max(times) AS within FROM (
+    SELECT lang, times, unnest(flatten([[gram[i : i + n - 1] FOR i IN range(1, words - n + 2)] FOR n IN range(2, words)])) AS gram
+    FROM f WHERE words > 2
+  ) GROUP BY lang, gram
+),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN contained USING (lang, gram)
+  WHERE within IS NULL OR 100 * within::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
