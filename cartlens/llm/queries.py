@@ -11,13 +11,14 @@ from cartlens.llm import substring, suffix
 from cartlens.llm.ann import self_neighbours
 from cartlens.llm.common import read
 from cartlens.llm.langid import language_id
+from cartlens.llm.licenses import license_labels
 from cartlens.llm.merkle import verified_manifest
 from cartlens.llm.mixing import mix
 from cartlens.llm.packing import pack
 from cartlens.llm.phrases import collocations
 from cartlens.llm.quality import COUNTS, quality
 from cartlens.llm.simhash import near_duplicates
-from cartlens.llm.sql import OP1, OP11, OP12
+from cartlens.llm.sql import OP1, OP11, OP12, OP13
 from cartlens.llm.tokens import token_counts
 from cartlens.llm.toxicity import toxicity
 
@@ -74,6 +75,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(read(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_language_id": op2_language_id,
@@ -87,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
 
 # DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op1_pareto_mix": OP1, "op11_phrase_collocations": OP11, "op12_merkle_manifest": OP12}
+ORACLE: dict[str, str] = {
+    "op1_pareto_mix": OP1, "op11_phrase_collocations": OP11, "op12_merkle_manifest": OP12, "op13_license_scan": OP13,
+}

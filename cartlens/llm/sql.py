@@ -1,5 +1,11 @@
 """DuckDB SQL for the queries that SQL can express, written from the rules and not from the plans."""
 
+from __future__ import annotations
+
+from cartlens.llm.licenses import BASE, LEAST_SCORE, LOWER, TEMPLATES, UPPER, key_places
+from cartlens.llm.licenses import WORD as LICENSE_WORD
+
+
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
@@ -165,3 +171,57 @@ ranked AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+def _license_sql() -> str:
+    """All alignments of all templates by joins, without probes."""
+    postings = ", ".join(
+        f"({t}, {place}, '{word}', {key_places(passage, key)[0] <= place <= key_places(passage, key)[1]})"
+        for t, (_, passage, key) in enumerate(TEMPLATES) for place, word in enumerate(passage.split())
+    )
+    labels = ", ".join(f"({t}, '{label}', {len(key.split())})" for t, (label, _, key) in enumerate(TEMPLATES))
+    base = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in BASE.items())
+    return rf"""
+WITH posting(template, place, word, is_key) AS (VALUES {postings}), named(template, label, key_words) AS (VALUES {labels}),
+phrase(phrase, label, words) AS (VALUES {base}),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{LICENSE_WORD}') AS words
+  FROM documents
+),
+w AS MATERIALIZED (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS place FROM d),
+hit AS MATERIALIZED (SELECT * FROM w WHERE word IN (SELECT word FROM posting)),
+weight AS MATERIALIZED (
+  SELECT p.word, round(1000 * ln(1 + ((SELECT count(*) FROM d) + 1) / (count(DISTINCT h.row) + 1)))::BIGINT AS weight
+  FROM (SELECT DISTINCT word FROM posting) p LEFT JOIN hit h USING (word) GROUP BY p.word
+),
+total AS (SELECT template, sum(weight) AS total FROM posting JOIN weight USING (word) GROUP BY template),
+match AS (
+  SELECT h.row, p.template, h.place - p.place AS first, sum(x.weight) AS scored, count(*) FILTER (WHERE p.is_key) AS key_words
+  FROM hit h JOIN posting p USING (word) JOIN weight x USING (word) GROUP BY h.row, p.template, h.place - p.place
+),
+found AS (
+  SELECT row, label, scored / total AS score FROM match JOIN total USING (template) JOIN named USING (template)
+  WHERE match.key_words = named.key_words AND 100 * scored >= {LEAST_SCORE} * total
+),
+place AS (
+  SELECT d.row, b.label, unnest([i - 1 FOR i IN range(1, len(d.words) + 1) IF array_to_string(d.words[i : i + b.words - 1], ' ') = b.phrase]) AS place
+  FROM d JOIN phrase b ON list_contains(d.words, string_split(b.phrase, ' ')[1])
+),
+b AS (
+  SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM place GROUP BY row
+),
+l AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT row, label FROM place UNION ALL SELECT row, label FROM found) GROUP BY row
+),
+s AS (SELECT row, max(score) AS score FROM found GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (row) LEFT JOIN l USING (row) LEFT JOIN s USING (row)
+"""
+
+
+OP13 = _license_sql()
