@@ -15,6 +15,7 @@ columns enter its leaf as `-`; empty texts as `0:`. An empty table has no rows a
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -112,31 +113,38 @@ def proofs_below(known: dict[tuple[int, int], str], levels: int, proof: list[str
     return out
 
 
-def _block(nodes: pa.Table) -> tuple[pa.Table, int, dict[tuple[int, int], str]]:
+def _block(nodes: pa.Table, limit: int) -> tuple[pa.Table, int, dict[tuple[int, int], str]]:
     nodes = nodes.sort_by("place")
-    levels = min(LEVELS, height(nodes.column("n")[0].as_py()))
+    levels = min(limit, height(nodes.column("n")[0].as_py()))
     return nodes, levels, digests_above(nodes.column("place")[0].as_py(), nodes.column("digest").to_pylist(), levels)
 
 
-def _rise(nodes: pa.Table) -> pa.Table:
-    """A block's top node, as a node of the slice above."""
-    nodes, levels, known = _block(nodes)
-    n = nodes.column("n")[0].as_py()
-    above = -(-n >> levels)
-    (place, digest), = [(place, digest) for (level, place), digest in known.items() if level == levels]
-    return pa.table({"tree": nodes.column("tree")[:1], "place": [place], "n": pa.array([above], pa.int64()), "digest": [digest]})
+def risen(limit: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's top node, as a node of the slice `limit` levels above."""
 
+    def run(nodes: pa.Table) -> pa.Table:
+        nodes, levels, known = _block(nodes, limit)
+        above = -(-nodes.column("n")[0].as_py() >> levels)
+        ((place, digest),) = [(place, digest) for (level, place), digest in known.items() if level == levels]
+        return pa.table({"tree": nodes.column("tree")[:1], "place": [place], "n": pa.array([above], pa.int64()), "digest": [digest]})
 
-def _sink(nodes: pa.Table, tops: pa.Table) -> pa.Table:
+    return run
+
+
+def sunk(limit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block's nodes with their proofs, from the proof of its top."""
-    nodes, levels, known = _block(nodes)
-    top = tops.to_pylist()[0]
-    found = proofs_below(known, levels, top["proof"])
-    places = nodes.column("place").to_pylist()
-    more = {"subroot": [top["subroot"]] * len(places), "root": [top["root"]] * len(places), "proof": [found[p] for p in places]}
-    for name, kind in PROOF_COLUMNS.items():
-        nodes = nodes.append_column(name, pa.array(more[name], kind))
-    return nodes
+
+    def run(nodes: pa.Table, tops: pa.Table) -> pa.Table:
+        nodes, levels, known = _block(nodes, limit)
+        top = tops.to_pylist()[0]
+        found = proofs_below(known, levels, top["proof"])
+        places = nodes.column("place").to_pylist()
+        more = {"subroot": [top["subroot"]] * len(places), "root": [top["root"]] * len(places), "proof": [found[p] for p in places]}
+        for name, kind in PROOF_COLUMNS.items():
+            nodes = nodes.append_column(name, pa.array(more[name], kind))
+        return nodes
+
+    return run
 
 
 def slices(nodes: DataFrame) -> list[DataFrame]:
@@ -144,7 +152,7 @@ def slices(nodes: DataFrame) -> list[DataFrame]:
     highest = height(nodes.agg(F.max("n")).first()[0] or 1)
     out = [nodes]
     for _ in range(-(-highest // LEVELS)):
-        out.append(stage(in_blocks(out[-1].select("tree", "place", "n", "digest")).applyInArrow(_rise, NODE), "nodes"))
+        out.append(stage(in_blocks(out[-1].select("tree", "place", "n", "digest")).applyInArrow(risen(LEVELS), NODE), "nodes"))
     return out
 
 
@@ -159,7 +167,7 @@ def delivered(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
     proofs = tops
     for nodes in levels[-2::-1]:
         schema = T.StructType([*nodes.schema, *PROOF])
-        sent = in_blocks(nodes).cogroup(proofs.groupBy("tree", "place")).applyInArrow(_sink, schema)
+        sent = in_blocks(nodes).cogroup(proofs.groupBy("tree", "place")).applyInArrow(sunk(LEVELS), schema)
         proofs = sent if nodes is levels[0] else stage(sent, "proofs")
     return proofs
 
