@@ -202,8 +202,9 @@ TEXT = ("key", "hash", "version")
 def keyed(docs: DataFrame, **more: str) -> DataFrame:
     """key, hash, version, doc_id, text and the columns `more` of every row."""
     rows = pick(docs, doc_id="long", text="string", **more)
-    # Another seed and the length: independent of `hash`.
-    version = F.pmod(F.xxhash64(F.lit(1), F.octet_length("text"), "text"), F.lit(1 << 16))
+    # Another seed and the length: independent of `hash`. Never null, which Spark has to be told: else the inner join
+    # filters nulls before it shuffles the texts, the left join does not, and neither takes the other's exchange.
+    version = F.coalesce(F.pmod(F.xxhash64(F.lit(1), F.octet_length("text"), "text"), F.lit(1 << 16)), F.lit(0))
     key = F.coalesce("doc_id", F.lit(NULL_KEY))
     return rows.select(key.alias("key"), F.xxhash64("text").alias("hash"), version.alias("version"), *rows.columns)
 

@@ -101,6 +101,19 @@ def test_texts_without_an_id_keep_their_own_cuts(spark):
     assert collected(suffix.digest(suffix.suffix_dedup(docs)), *BYTE_COLUMNS) == byte_digests(plain)
 
 
+@pytest.mark.parametrize("operator", [substring.substring_dedup, suffix.suffix_dedup])
+def test_texts_are_shuffled_once(spark, operator):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = operator(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") == 1
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "documents.parquet" in line]) == 1
+
+
 def test_segments_hold_all_windows(monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 500)
     text = prose("segments", 700).encode()
