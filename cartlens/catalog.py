@@ -41,6 +41,14 @@ def csv_round_trip(w: Warehouse) -> DataFrame:
     return clean_transactions(scan_csv(w.spark, path, RAW_COLUMNS["transactions"]))
 
 
+def csv_line_breaks(w: Warehouse) -> DataFrame:
+    """The same with quotes, commas and line breaks in every transaction's id, read by byte ranges."""
+    path = new_folder(w.spark, "line-breaks.csv")
+    broken = F.concat("transaction_id", F.lit('\n"'), F.col("product_id").cast("string"), F.lit('",\n,'))
+    write_csv(w.raw["transactions"].withColumn("transaction_id", broken), path)
+    return clean_transactions(scan_csv(w.spark, path, RAW_COLUMNS["transactions"], multi_line=True))
+
+
 def ingest_rowcount(w: Warehouse) -> DataFrame:
     return table_sizes(w.raw)
 
@@ -108,6 +116,7 @@ def null_report(w: Warehouse) -> DataFrame:
 
 SOURCES: dict[str, Report] = {
     "scan_csv": csv_round_trip,
+    "scan_csv_line_breaks": csv_line_breaks,
     "ingest_rowcount": ingest_rowcount,
     "profile_raw": profile_raw,
     "write_table": table_round_trip,
@@ -203,7 +212,7 @@ MART_STEPS: dict[str, Report] = {
 }
 
 # Answered from the raw tables, which a warehouse opened from disk does not have.
-NEEDS_RAW = ("scan_csv", "ingest_rowcount", "profile_raw", "build_warehouse")
+NEEDS_RAW = ("scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse")
 
 CATALOG: dict[str, Report] = {
     **SOURCES,

@@ -125,11 +125,16 @@ def exact_median(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
 
 
 def first_rows(df: DataFrame, order: Sequence[str | Column], limit: int | None = None) -> DataFrame:
-    """The first `limit` rows by `order` (ascending, nulls last); without a limit all rows, unsorted."""
+    """The first `limit` rows by `order` (ascending, nulls last); without a limit all rows, unsorted.
+
+    Expressions are computed once a row, before the sort: a sort evaluates its order at every comparison.
+    """
     if limit is None:
         return df
-    columns = [F.col(column) if isinstance(column, str) else column for column in order]
-    return df.orderBy(*[column.asc_nulls_last() for column in columns]).limit(limit)
+    computed = {f"__order_{i}": column for i, column in enumerate(order) if not isinstance(column, str)}
+    names = [column if isinstance(column, str) else f"__order_{i}" for i, column in enumerate(order)]
+    ordered = df.withColumns(computed).orderBy(*[F.col(name).asc_nulls_last() for name in names])
+    return ordered.limit(limit).select(df.columns)
 
 
 def _cut_name(measure: str, bucket: int) -> str:

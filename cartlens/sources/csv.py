@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.columns import named
+from cartlens.sources.csv_ranges import records
 from cartlens.sources.schemas import RAW_COLUMNS, text_schema
 from cartlens.vocabulary import NULL_TOKENS
 
@@ -19,7 +20,7 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: boo
 
     Columns are matched by the file's own header, whatever their order and whatever else the file
     holds. The schema is never inferred from the data: only the header line is read ahead.
-    `multi_line` admits line breaks inside quoted fields, at the price of one task per file.
+    `multi_line` admits line breaks inside quoted fields; the text is then read twice, by as many tasks as without.
 
     A row with more or fewer fields than the header, or cut by a line break in quotes, is an error when it
     is read; `malformed_rows` counts and shows such rows.
@@ -47,16 +48,12 @@ def _malformed(frame: DataFrame) -> Column:
 
 def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     schema = text_schema(_header(spark, path)).add(CORRUPT, T.StringType())
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .csv(path)
-    )
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if multi_line:
+        ddl = ", ".join(f"`{field.name.replace('`', '``')}` string" for field in schema)
+        parsed = F.from_csv("record", ddl, options | {"multiLine": "true"})
+        return records(spark, path).select(parsed.alias("row")).select("row.*")
+    return spark.read.schema(schema).options(header=True, columnPruning=False, **options).csv(path)
 
 
 def scan_all_csv(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:

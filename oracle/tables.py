@@ -125,6 +125,8 @@ def titled(sums: str) -> str:
 
 SQL = {
     "scan_csv": over("transactions", CLEAN_TX),
+    "scan_csv_line_breaks": over("transactions", CLEAN_TX.replace(
+        "SELECT transaction_id,", "SELECT concat(transaction_id, chr(10), '\"', product_id, '\",', chr(10), ',') AS transaction_id,")),
     "ingest_rowcount": _sizes({t: len(c) for t, c in RAW_TYPES.items()}),
     "profile_raw": over(ALL, _union([
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS column_type, "

@@ -126,6 +126,14 @@ def test_first_rows(spark):
     assert ranking.first_rows(df, ["k", "i"]).count() == len(data)
 
 
+def test_first_rows_sorts_computed_columns(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(20, 0, -1)], "id string")
+    found = ranking.first_rows(df, [F.col("id").try_cast("decimal(38,0)"), "id"], 3)
+    assert [r.id for r in found.collect()] == ["1", "2", "3"] and found.columns == ["id"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "cast" not in plan[plan.index("TakeOrderedAndProject") :].split("output=")[0]
+
+
 def test_first_rows_reaches_nulls_when_short(spark):
     df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "k string, i int")
     assert [r.i for r in ranking.first_rows(df, ["k", "i"], 3).collect()] == [3, 1, 2]
