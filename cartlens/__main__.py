@@ -1,6 +1,7 @@
 """Command line: build a warehouse, answer a report, write the exports.
 
     python -m cartlens build   <raw CSV folder> <warehouse> [--multi-line] [--catalog]
+    python -m cartlens publish <raw CSV folder> <warehouse> [--multi-line] [--keep N]   bring up to date by what changed
     python -m cartlens profile <raw CSV folder>                row counts, types and nulls of the raw tables
     python -m cartlens show    <warehouse> <report> [--rows N]
     python -m cartlens write   <warehouse> <report> <folder>   the whole report as CSV
@@ -20,14 +21,16 @@ from pyspark.sql import SparkSession
 from cartlens.catalog import CATALOG, NEEDS_RAW, loaded_counts
 from cartlens.operators.profile import profile_all
 from cartlens.plans import charts, star, workbook
+from cartlens.plans.publish import open_published, publish_warehouse
 from cartlens.plans.warehouse import build_warehouse, open_warehouse, register_views, save_in_catalog
 from cartlens.session import build_session
+from cartlens.sources import generations
 from cartlens.sources.csv import scan_all_csv, write_all_csv, write_csv
 from cartlens.sources.stage import clear_stage
 
 REPORTS = [name for name in CATALOG if name not in NEEDS_RAW]
 ARGUMENTS = {
-    "build": ["raw", "warehouse"], "profile": ["raw"], "show": ["warehouse", "report"],
+    "build": ["raw", "warehouse"], "publish": ["raw", "warehouse"], "profile": ["raw"], "show": ["warehouse", "report"],
     "write": ["warehouse", "report", "folder"], "sql": ["warehouse", "statement"], "report": ["warehouse", "folder"],
     "star": ["warehouse", "folder"], "charts": ["warehouse", "folder"], "list": [],
 }
@@ -44,8 +47,10 @@ def parsed(arguments: list[str] | None) -> argparse.Namespace:
             sub.add_argument(name, **({"choices": REPORTS, "metavar": "report"} if name == "report" else {}))
         if action in ("show", "sql"):
             sub.add_argument("--rows", type=int, default=100)
-        if action in ("build", "profile"):
+        if action in ("build", "publish", "profile"):
             sub.add_argument("--multi-line", action="store_true", help="line breaks inside quoted fields")
+        if action == "publish":
+            sub.add_argument("--keep", type=int, default=2, help="generations that stay readable")
         if action == "build":
             sub.add_argument("--catalog", action="store_true", help="also save the tables in the catalog")
     return parser.parse_args(arguments)
@@ -73,7 +78,12 @@ def answer(spark: SparkSession, given: argparse.Namespace) -> None:
             save_in_catalog(built)
         loaded_counts(built).show(truncate=False)
         return
-    warehouse = open_warehouse(spark, given.warehouse)
+    if given.action == "publish":
+        publish_warehouse(spark, given.raw, given.warehouse, given.multi_line).show(1000, truncate=False)
+        generations.clear(spark, given.warehouse, given.keep)
+        return
+    opener = open_published if generations.published(spark, given.warehouse) else open_warehouse
+    warehouse = opener(spark, given.warehouse)
     if given.action == "show":
         CATALOG[given.report](warehouse).show(given.rows, truncate=False)
     elif given.action == "sql":

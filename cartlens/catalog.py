@@ -21,12 +21,14 @@ from cartlens.plans import (
     star,
     workbook,
 )
-from cartlens.plans.clean import clean_transactions
+from cartlens.plans.clean import CLEANERS, clean_transactions
+from cartlens.plans.publish import CHANGES, Publication, open_published, publish_warehouse
 from cartlens.plans.warehouse import Warehouse, build_warehouse
 from cartlens.sources.csv import scan_csv, write_all_csv, write_csv
+from cartlens.sources.generations import publish
 from cartlens.sources.schemas import RAW_COLUMNS
 from cartlens.sources.stage import new_folder, stage
-from cartlens.sources.tables import MART_PREFIX, scan_table, write_mart, write_table
+from cartlens.sources.tables import MART_PREFIX, PARTITION_COLUMNS, scan_table, write_mart, write_table
 
 Report = Callable[[Warehouse], DataFrame]
 
@@ -105,6 +107,41 @@ def full_build(w: Warehouse) -> DataFrame:
     return value_sums_all(tables)
 
 
+def _earlier(w: Warehouse) -> dict[str, DataFrame]:
+    """The raw tables as they may have been before: without the events of the last day, the transactions of the
+    last month and, of the first month, those of every second customer."""
+    time = F.col("timestamp")
+    ends = w.raw["transactions"].agg(F.struct(F.min(time).alias("first"), F.max(time).alias("last"))).scalar()
+    month = F.date_trunc("month", time)
+    sales = w.raw["transactions"].withColumn("ends", ends)
+    sales = sales.where(month < F.date_trunc("month", F.col("ends.last")))
+    sales = sales.where((month > F.date_trunc("month", F.col("ends.first"))) | (F.col("customer_id") % 2 == 0))
+    last_day = w.raw["events"].agg(F.to_date(F.max(time))).scalar()
+    events = w.raw["events"].withColumn("ends", last_day).where(F.to_date(time) < F.col("ends"))
+    return w.raw | {"transactions": sales.drop("ends"), "events": events.drop("ends")}
+
+
+def refreshed_build(w: Warehouse) -> DataFrame:
+    """An earlier state published, then brought up to date; sums over every column, equal to a full build's."""
+    root = new_folder(w.spark, "published")
+    publish_warehouse(w.spark, _earlier(w), root)
+    publish_warehouse(w.spark, w.raw, root)
+    built = open_published(w.spark, root)
+    tables = built.cleaned() | {MART_PREFIX + name: df for name, df in built.marts().items()}
+    return value_sums_all(tables)
+
+
+def refreshed_partitions(w: Warehouse) -> DataFrame:
+    """The partitions of the facts that such an update writes."""
+    root = new_folder(w.spark, "published")
+    for raw in (_earlier(w), w.raw):
+        run = Publication(w.spark, root)
+        for name in PARTITION_COLUMNS:
+            run.add(name, CLEANERS[name](raw[name]))
+        publish(w.spark, root, run.manifest_rows())
+    return w.spark.createDataFrame([(c["table_name"], c["part"], c["change"]) for c in run.changes], CHANGES)
+
+
 def null_report(w: Warehouse) -> DataFrame:
     """Cleaned tables: row count and the columns that hold nulls."""
     return (
@@ -126,6 +163,8 @@ SOURCES: dict[str, Report] = {
     "write_csv_star": star_csv_values,
     "report_tables": report_table_values,
     "build_warehouse": full_build,
+    "publish_warehouse": refreshed_build,
+    "publish_changes": refreshed_partitions,
 }
 
 CLEANING: dict[str, Report] = {
@@ -212,7 +251,7 @@ MART_STEPS: dict[str, Report] = {
 }
 
 # Answered from the raw tables, which a warehouse opened from disk does not have.
-NEEDS_RAW = ("scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse")
+NEEDS_RAW = ("scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse", "publish_warehouse", "publish_changes")
 
 CATALOG: dict[str, Report] = {
     **SOURCES,

@@ -91,7 +91,11 @@ def rfm_scores(dated: DataFrame) -> DataFrame:
 
 
 def scored_customers(transactions: DataFrame) -> DataFrame:
-    purchases = stage(customer_purchases(transactions), "customer-purchases")
+    return scored_purchases(stage(customer_purchases(transactions), "customer-purchases"))
+
+
+def scored_purchases(purchases: DataFrame) -> DataFrame:
+    """The same from folded transactions, a stored table."""
     scored = rfm_scores(recency_lifetime(purchases))
     return scored.withColumn("rfm_segment", segment_of("rfm_score"))
 
@@ -111,10 +115,14 @@ def customer_event_agg(events: DataFrame) -> DataFrame:
 
 
 def customer_360(customers: DataFrame, transactions: DataFrame, events: DataFrame) -> DataFrame:
+    return customer_360_of(customers, scored_customers(transactions), customer_event_agg(events))
+
+
+def customer_360_of(customers: DataFrame, scored: DataFrame, event_agg: DataFrame) -> DataFrame:
     orders = F.col("total_orders")
     return (
-        customers.join(scored_customers(transactions), "customer_id", "left")
-        .join(customer_event_agg(events), "customer_id", "left")
+        customers.join(scored, "customer_id", "left")
+        .join(event_agg, "customer_id", "left")
         .withColumns(
             {
                 "has_purchased": F.coalesce(orders > 0, F.lit(False)),
@@ -182,10 +190,12 @@ def revenue_per_visitor() -> Column:
 
 
 def campaign_performance(campaigns: DataFrame, transactions: DataFrame, events: DataFrame) -> DataFrame:
+    return campaign_performance_of(campaigns, campaign_tx_agg(transactions), campaign_event_agg(events))
+
+
+def campaign_performance_of(campaigns: DataFrame, tx_agg: DataFrame, event_agg: DataFrame) -> DataFrame:
     joined = stage(
-        campaigns.join(campaign_tx_agg(transactions), "campaign_id", "left").join(
-            campaign_rates(campaign_event_agg(events)), "campaign_id", "left"
-        ),
+        campaigns.join(tx_agg, "campaign_id", "left").join(campaign_rates(event_agg), "campaign_id", "left"),
         "campaign-performance",
     )
     return joined.withColumn("roi", against_median(joined)).withColumn("revenue_per_visitor", revenue_per_visitor())
@@ -197,9 +207,28 @@ def campaign_performance(campaigns: DataFrame, transactions: DataFrame, events:
 def funnel(events: DataFrame) -> DataFrame:
     """One row per stage in stage order: events counted, loss against the stage before, share of the
     first stage. One pass gives a single row of counts; the four result rows are unfolded from it."""
-    counts = events.where(F.col("event_type").isin(FUNNEL_STAGES)).agg(
-        *[F.count_if(F.col("event_type") == stage_name).alias(stage_name) for stage_name in FUNNEL_STAGES]
+    return _funnel_rows(
+        events.where(F.col("event_type").isin(FUNNEL_STAGES)).agg(
+            *[F.count_if(F.col("event_type") == stage_name).alias(stage_name) for stage_name in FUNNEL_STAGES]
+        )
     )
+
+
+def daily_event_counts(events: DataFrame) -> DataFrame:
+    """One row per day and kind of event."""
+    return events.groupBy("date", "event_type").agg(F.count(F.lit(1)).alias("number"))
+
+
+def funnel_of(counts: DataFrame) -> DataFrame:
+    """The funnel from `daily_event_counts`."""
+
+    def of(stage_name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("event_type") == stage_name, F.col("number"))), F.lit(0)).alias(stage_name)
+
+    return _funnel_rows(counts.agg(*map(of, FUNNEL_STAGES)))
+
+
+def _funnel_rows(counts: DataFrame) -> DataFrame:
     previous = [F.lit(None).cast("bigint"), *map(F.col, FUNNEL_STAGES)]
     rows = [
         F.struct(
@@ -233,7 +262,11 @@ def product_tx_agg(transactions: DataFrame) -> DataFrame:
 
 
 def product_performance(products: DataFrame, transactions: DataFrame) -> DataFrame:
-    return products.join(product_tx_agg(transactions), "product_id", "left").withColumns(
+    return product_performance_of(products, product_tx_agg(transactions))
+
+
+def product_performance_of(products: DataFrame, tx_agg: DataFrame) -> DataFrame:
+    return products.join(tx_agg, "product_id", "left").withColumns(
         {
             "units_sold": F.coalesce("units_sold", F.lit(0)),
             "total_revenue": F.coalesce("total_revenue", zero_money()),

@@ -257,7 +257,9 @@ def titled(df: DataFrame) -> DataFrame:
 def data_transactions(w: Warehouse, limit: int | None = None) -> DataFrame:
     """All transactions, or the first `limit` by id: by number where ids are whole numbers, else by text.
     Ties on the id (should it not be unique) are settled by the other columns."""
-    number = F.col("transaction_id").try_cast("decimal(38,0)")
+    # Text that is no number is told by its characters: a failed cast costs an exception a row.
+    identifier = F.trim("transaction_id")
+    number = F.when(identifier.rlike(r"^[+-]?[0-9]+$"), identifier.try_cast("decimal(38,0)"))
     return first_rows(w.transactions.select(DATA_TRANSACTION_COLUMNS), [number, *DATA_TRANSACTION_COLUMNS], limit)
 
 

@@ -236,3 +236,12 @@ SQL |= {
         "mart_funnel": SQL["pbi_funnel"], "mart_product_perf": SQL["pbi_product_perf"],
     }),
 }
+SQL |= {
+    "publish_warehouse": SQL["build_warehouse"],
+    "publish_changes": over("transactions clicks", """
+        SELECT 'transactions' AS table_name, month AS part, CASE WHEN month = last THEN 'added' ELSE 'rewritten' END AS change
+        FROM (SELECT month, customer_id, min(month) OVER () AS first, max(month) OVER () AS last FROM transactions)
+        WHERE month = last OR (month = first AND customer_id % 2 <> 0)
+        GROUP BY month, last
+        UNION ALL SELECT 'events', strftime(max(ts), '%Y-%m-%d'), 'added' FROM clicks"""),
+}

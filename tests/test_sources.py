@@ -109,7 +109,11 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert "add_to_cart" in said("sql", warehouse, ranked)
     with pytest.raises(SystemExit):
         main.main(["show", warehouse, "scan_csv"])
-    assert len(cleared) == 7
+    versions = str(tmp_path / "versions")
+    assert "transactions" in said("publish", raw, versions)
+    assert "transactions" not in said("publish", raw, versions)
+    assert "only showing top 2 rows" in said("show", versions, "clean_transactions", "--rows", "2")
+    assert len(cleared) == 10
 
 
 def test_nothing_staged_is_left(spark, tmp_path, monkeypatch):
