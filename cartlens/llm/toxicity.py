@@ -255,7 +255,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
     # Broadcast: at most 2 * per_class rows.
     texts = pick(docs, doc_id="long", text="string").where(F.col("text").isNotNull())
-    sample = stage(texts.join(F.broadcast(chosen.select("doc_id", "toxic", part.alias("part"))), "doc_id"), "toxicity")
+    found = texts.join(F.broadcast(chosen.select("doc_id", "toxic", part.alias("part"))), "doc_id")
+    # One text of each id, folded before it is shuffled, however many rows share the id.
+    one = found.groupBy("doc_id", "toxic", "part").agg(F.max(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("most"))
+    sample = stage(one.select("doc_id", "most.text", "toxic", "part"), "toxicity")
 
     lexicon = learned_lexicon(sample.where("part < 2"))
 

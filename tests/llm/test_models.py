@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ from cartlens.llm.common import documents as columns_of
 from cartlens.llm.common import read
 from cartlens.llm.queries import ORACLE, QUERIES
 from tests.compare import differences, duckdb_connection
-from tests.llm.data import SMALL, documents, odd_documents, odd_rows, prose, words
+from tests.llm.data import SCHEMA, SMALL, documents, odd_documents, odd_rows, prose, words
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -146,6 +147,23 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.toxicity(odd_documents(spark, []), labels.limit(0)).collect() == []
 
 
+def test_samples_stay_bounded_with_a_hot_id(spark, monkeypatch):
+    """One learnable id holds a third of all rows: it still gives one text to either sample."""
+    hot = next(i for i in range(100) if not zlib.crc32(str(i).encode()) % 5 == 0)
+    ids = [i for i in range(100, 500) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(hot, f"vile {i} words", "en", "a", 0) for i in range(2000)] + [(i, prose(i, 30), ("en", "fr")[i % 2], "a", 0) for i in ids for _ in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i == hot or i % 3 == 0)) for i in [hot, *ids]], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learned_lexicon", lambda sample: seen.append(sample.count()) or toxicity.Lexicon({}))
+    toxicity.toxicity_model(docs, labels, 10)
+    assert seen[0] <= 20
+    windows, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, *more: windows.append(len(x)) or fit(x, *more, epochs=1))
+    langid.language_model(docs, per_language=50)
+    assert windows[0] <= 2 * 50 * langid.WINDOWS
+
+
 def test_isotonic_is_monotone():
     draw = np.random.default_rng(1)
     raw = draw.normal(size=500)
