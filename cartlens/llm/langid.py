@@ -5,8 +5,8 @@ into a softmax over the languages, and a document's logits are the means over al
 input is one-hot bytes, so a filter is a table of 256 weights per place, and a response is a sum of
 look-ups: training touches only the places that won the pooling, prediction looks up byte pairs.
 
-Learning uses a bounded sample: up to `per_language` documents of each of the up to `max_languages`
-most frequent values of lang, and `windows` windows of each. Rows that are held out, without
+Learning uses a bounded sample: up to `per_language` documents of each value of lang (of the
+`max_languages` most frequent ones alone where that is given), and `windows` windows of each. Rows that are held out, without
 text, lang or id are never learned from. Prediction covers every byte of every text.
 
 Null texts and texts without a letter get `und` and score 0. So does every text when there is nothing
@@ -35,7 +35,6 @@ ROWS = 512
 # Places at which all filters fit into a window.
 PLACES = WINDOW - max(WIDTHS) + 1
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 200
 WINDOWS = 2
 EPOCHS = 6
 # A text that no language gets this probability for, or OVER_CHANCE times an even share of it if that is less, is
@@ -80,13 +79,14 @@ class Network:
         return self.pairs
 
 
-def language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Network | None:
+def language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int | None = None) -> Network | None:
     """A network fitted on the sample described above; None without any usable row."""
     rows = pick(docs, doc_id="long", text="string", lang="string").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
     )
-    # At most max_languages rows reach the driver.
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    # One row per language, or the max_languages most frequent ones.
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    found = (counted if max_languages is None else counted.limit(max_languages)).collect()
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)
@@ -104,6 +104,9 @@ def language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, max_langua
         rows.withColumn("draw", draw)
         .where((F.col("draw") < share[F.col("lang")]) & F.col("text").isNotNull())
         .select("lang", "doc_id", "draw", F.array(*cuts).alias("cuts"))
+        # One row of each id and language, folded before it is shuffled, however many rows share the id.
+        .groupBy("lang", "doc_id", "draw")
+        .agg(F.max("cuts").alias("cuts"))
         .orderBy("draw", "doc_id", "lang", "cuts")
         .limit(per_language * len(languages))
         .collect()
