@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers
 
 from cartlens.llm.common import by_bytes, parted, pick
 
@@ -217,14 +218,32 @@ def compiled(vocabulary: str) -> TokenCounter:
     return TokenCounter(vocabulary)
 
 
+@functools.lru_cache(maxsize=1)
+def unknown_points() -> np.ndarray:
+    """True for code points that Python's Unicode tables do not know; the library's may be newer."""
+    return np.array([unicodedata.category(chr(point)) == "Cn" for point in range(0x110000)])
+
+
+LIBRARY = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def normalized(text: str) -> str:
     """Canonical composition and lower case, each character on its own as the library does it."""
     if text.isascii():
         return text.lower()
+    if unknown_points()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+        return LIBRARY.normalize_str(text)
     # Lower-casing a whole string gives a final sigma at word ends.
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def in_class(points: list[str], pattern: str) -> np.ndarray:
+    """True for the characters that the library puts into a class."""
+    marked = normalizers.Replace(Regex(pattern), "\n")
+    steps = range(0, len(points), 4096)
+    return np.array([c == "\n" for i in steps for c in marked.normalize_str("".join(points[i : i + 4096]))])
+
+
 def character_kinds() -> np.ndarray:
     """The class of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
@@ -232,6 +251,10 @@ def character_kinds() -> np.ndarray:
         category = unicodedata.category(chr(point))[0]
         if category in "LN":
             kinds[point] = LETTER if category == "L" else DIGIT
+    unknown = np.flatnonzero(unknown_points())
+    newer = [chr(point) for point in unknown]
+    kinds[unknown[in_class(newer, r"\p{L}")]] = LETTER
+    kinds[unknown[in_class(newer, r"\p{N}")]] = DIGIT
     kinds[[ord(c) for c in WHITE_SPACE]] = SPACE
     for letters, kind in (("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E), ("'", QUOTE)):
         kinds[[ord(c) for c in letters]] = kind

@@ -292,3 +292,11 @@ def test_crossover_keeps_every_piece_once():
         assert child.min() >= 0 and loads.max() <= 1000 and (loads > 0).all()
     best = packing.evolve(people, lengths, 1000, draw)[0]
     assert packing.fitness(best, lengths, 1000) <= min(packing.fitness(p, lengths, 1000) for p in people)
+
+
+def test_tokens_of_characters_newer_than_python():
+    library, counter = Tokenizer.from_file(WORD_VOCABULARY), tokens.compiled(WORD_VOCABULARY)
+    newer = [chr(p) for p in (0xA7DC, 0x1C89, 0x105D2, 0x1C8A, 0x10D40, 0x10D4A, 0x11BF0)]
+    points = np.flatnonzero(tokens.unknown_points())[::997].tolist()
+    texts = [f"it's {c}{c} a{c}1 {c}'ll Σας" for c in [*newer, *map(chr, points)]]
+    assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
