@@ -22,6 +22,7 @@ from cartlens.catalog import CATALOG, NEEDS_RAW, loaded_counts
 from cartlens.operators.profile import profile_all
 from cartlens.plans import charts, star, workbook
 from cartlens.plans.publish import open_published, publish_warehouse
+from cartlens.plans.spans import Spans, keep_spans
 from cartlens.plans.warehouse import build_warehouse, open_warehouse, register_views, save_in_catalog
 from cartlens.session import build_session
 from cartlens.sources import generations
@@ -32,9 +33,11 @@ REPORTS = [name for name in CATALOG if name not in NEEDS_RAW]
 ARGUMENTS = {
     "build": ["raw", "warehouse"], "publish": ["raw", "warehouse"], "profile": ["raw"], "show": ["warehouse", "report"],
     "write": ["warehouse", "report", "folder"], "sql": ["warehouse", "statement"], "report": ["warehouse", "folder"],
-    "star": ["warehouse", "folder"], "charts": ["warehouse", "folder"], "list": [],
+    "spans": ["warehouse", "figures"], "star": ["warehouse", "folder"], "charts": ["warehouse", "folder"], "list": [],
 }
 
+CHOICES = {"report": {"choices": REPORTS, "metavar": "report"}, "figures": {"choices": ["customers", "campaigns", "groups"]}}
+
 
 def parsed(arguments: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(
@@ -44,13 +47,17 @@ def parsed(arguments: list[str] | None) -> argparse.Namespace:
     for action, names in ARGUMENTS.items():
         sub = actions.add_parser(action)
         for name in names:
-            sub.add_argument(name, **({"choices": REPORTS, "metavar": "report"} if name == "report" else {}))
+            sub.add_argument(name, **CHOICES.get(name, {}))
         if action in ("show", "sql"):
             sub.add_argument("--rows", type=int, default=100)
         if action in ("build", "publish", "profile"):
             sub.add_argument("--multi-line", action="store_true", help="line breaks inside quoted fields")
         if action == "publish":
             sub.add_argument("--keep", type=int, default=2, help="generations that stay readable")
+            sub.add_argument("--spans", action="store_true", help="also keep event figures by day, for any span of days")
+        if action == "spans":
+            sub.add_argument("--first", help="first day, ISO text")
+            sub.add_argument("--last", help="last day, ISO text")
         if action == "build":
             sub.add_argument("--catalog", action="store_true", help="also save the tables in the catalog")
     return parser.parse_args(arguments)
@@ -79,9 +86,13 @@ def answer(spark: SparkSession, given: argparse.Namespace) -> None:
         loaded_counts(built).show(truncate=False)
         return
     if given.action == "publish":
-        publish_warehouse(spark, given.raw, given.warehouse, given.multi_line).show(1000, truncate=False)
+        more = keep_spans if given.spans else None
+        publish_warehouse(spark, given.raw, given.warehouse, given.multi_line, more).show(1000, truncate=False)
         generations.clear(spark, given.warehouse, given.keep)
         return
+    if given.action == "spans":
+        getattr(Spans(spark, given.warehouse), given.figures)(given.first, given.last).show(1000, truncate=False)
+        return
     opener = open_published if generations.published(spark, given.warehouse) else open_warehouse
     warehouse = opener(spark, given.warehouse)
     if given.action == "show":

@@ -17,6 +17,7 @@ from cartlens.plans import (
     eda,
     marts,
     revenue,
+    spans,
     sql_reports,
     star,
     workbook,
@@ -250,6 +251,20 @@ MART_STEPS: dict[str, Report] = {
     "build_all": built_marts,
 }
 
+# --- spans of days, answered from what an updated publication keeps per day ----------------------
+
+
+def _span(answer: Callable[[spans.Spans], DataFrame]) -> Report:
+    return lambda w: spans.refreshed(answer, w, new_folder(w.spark, "spans"))
+
+
+SPANS: dict[str, Report] = {
+    "span_customer_events": _span(lambda s: s.customers(*s.last_days(spans.SPAN_DAYS))),
+    "span_campaign_events": _span(lambda s: s.campaigns(*s.last_days(spans.SPAN_DAYS))),
+    "span_ab_groups": _span(lambda s: s.groups(*s.last_days(spans.SPAN_DAYS))),
+    "span_whole_customer_events": _span(lambda s: s.customers()),
+}
+
 # Answered from the raw tables, which a warehouse opened from disk does not have.
 NEEDS_RAW = ("scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse", "publish_warehouse", "publish_changes")
 
@@ -257,6 +272,7 @@ CATALOG: dict[str, Report] = {
     **SOURCES,
     **CLEANING,
     **MART_STEPS,
+    **SPANS,
     **sql_reports.REPORTS,
     **eda.REPORTS,
     **customers.REPORTS,

@@ -77,14 +77,23 @@ class Publication:
     def table(self, table: str) -> DataFrame:
         return scan_parts(self.spark, self.root, table, self.rows[table])
 
+    def parts_of(self, table: str, parts: list) -> DataFrame:
+        """Some partitions of a table alone: no other folder is opened."""
+        rows = self.rows[table]
+        return scan_parts(self.spark, self.root, table, [row for row in rows if row["part"] in parts] or [rows[0] | {"folder": None}])
+
     def changed(self, table: str) -> list[dict]:
         return [change for change in self.changes if change["table_name"] == table]
 
-    def add(self, table: str, df: DataFrame) -> None:
-        """Write the partitions of `df` that differ from the former generation's."""
-        by, schema = PARTITION_COLUMNS.get(table), layout(df)
+    def add(self, table: str, df: DataFrame, by: str | None = None, parts: list | None = None) -> None:
+        """Write the partitions of `df` that differ from the former generation's.
+
+        With `parts`, `df` holds these partitions alone, and the others are taken over unread."""
+        by, schema = by or PARTITION_COLUMNS.get(table), layout(df)
         # A new layout of a table is a new table.
         old = [row for row in self.old(table) if row["table_schema"] == schema]
+        carried = [] if parts is None else [row for row in old if row["part"] not in parts and row["row_count"]]
+        old = old if parts is None else [row for row in old if row["part"] in parts]
         was = self.spark.createDataFrame(old, generations.MANIFEST)
         found = stage(fingerprints(df, table, by), "fingerprints")
         changes = [row.asDict() for row in changed_parts(was, found).collect()]
@@ -97,8 +106,9 @@ class Publication:
                 touched = df.join(parts, F.col(by).cast("string").eqNullSafe(parts["part"]), "left_semi")
             folders |= write_parts(touched, self.root, table, by)
         # An empty table has no partition, and a row of its own for its schema.
-        rows = [row.asDict() for row in found.collect()] or [dict(table_name=table, part=None, row_count=0, content=None)]
-        self.rows[table] = [row | {"folder": folders.get(row["part"]) if row["row_count"] else None, "table_schema": schema} for row in rows]
+        rows = [row.asDict() for row in found.collect()]
+        rows = rows or ([] if carried else [dict(table_name=table, part=None, row_count=0, content=None)])
+        self.rows[table] = carried + [row | {"folder": folders.get(row["part"]) if row["row_count"] else None, "table_schema": schema} for row in rows]
         self.changes += changes
 
     def fold(self, name: str) -> None:
@@ -136,17 +146,34 @@ class Publication:
 
 
 def publish_warehouse(
-    spark: SparkSession, source: str | dict[str, DataFrame], root: str, multi_line: bool = False
+    spark: SparkSession,
+    source: str | dict[str, DataFrame],
+    root: str,
+    multi_line: bool = False,
+    more: Callable[[Publication], None] | None = None,
 ) -> DataFrame:
     """Bring the warehouse below `root` up to date with the raw tables (a folder of CSV files, or frames), and publish it.
 
     table_name, part and change of every partition that was written or went. Nothing is published where nothing
-    changed."""
+    changed. `more` may add tables to the same generation (`plans.spans.keep_spans`)."""
     raw = scan_all_csv(spark, source, multi_line) if isinstance(source, str) else source
+
+    def derive(run: Publication) -> None:
+        side_by_side([partial(run.fold, name) for name in FOLDS])
+        side_by_side([partial(run.mart, name) for name in MARTS])
+        if more:
+            more(run)
+
+    return publish_tables(spark, root, clean_all(raw), derive)
+
+
+def publish_tables(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], derive: Callable[[Publication], None]
+) -> DataFrame:
+    """Publish tables and what `derive` adds to the run from them, as one generation."""
     run = Publication(spark, root)
-    side_by_side([partial(run.add, name, df) for name, df in clean_all(raw).items()])
-    side_by_side([partial(run.fold, name) for name in FOLDS])
-    side_by_side([partial(run.mart, name) for name in MARTS])
+    side_by_side([partial(run.add, name, df) for name, df in tables.items()])
+    derive(run)
     changes = spark.createDataFrame([(c["table_name"], c["part"], c["change"]) for c in run.changes], CHANGES)
     if run.changes or not run.old_rows:
         generations.publish(spark, root, run.manifest_rows())

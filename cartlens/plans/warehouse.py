@@ -46,6 +46,10 @@ class Warehouse:
     def _open(self, name: str) -> DataFrame:
         return self._opener(self, name)
 
+    def table(self, name: str) -> DataFrame:
+        """Any stored table by its name."""
+        return self._open(name)
+
     @cached_property
     def campaigns(self) -> DataFrame:
         return self._open("campaigns")

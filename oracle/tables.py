@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import half_even, mean, over, ratio
+from oracle.base import half_even, half_up, mean, n_of, over, ratio
 
 RAW_TYPES = {
     "campaigns": {
@@ -245,3 +245,26 @@ SQL |= {
         GROUP BY month, last
         UNION ALL SELECT 'events', strftime(max(ts), '%Y-%m-%d'), 'added' FROM clicks"""),
 }
+
+# The last ten days up to the latest one with events.
+_LAST_DAYS = "(SELECT * FROM clicks WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM clicks) - 10)"
+SQL |= {
+    "span_customer_events": over("clicks", f"""
+        SELECT customer_id, count(event_id) AS total_events, count(DISTINCT session_id) AS total_sessions,
+               {n_of("purchase")} AS purchase_events, {n_of("bounce")} AS bounce_events,
+               {mean("session_duration_sec")} AS avg_session_duration, count(DISTINCT device_type) AS devices_used,
+               {half_even(ratio(n_of("purchase"), "count(DISTINCT session_id)"), 4)} AS conversion_rate
+        FROM {_LAST_DAYS} GROUP BY customer_id"""),
+    "span_campaign_events": over("clicks", f"""
+        SELECT campaign_id, count(event_id) AS impressions, count(DISTINCT customer_id) AS unique_visitors,
+               {n_of("purchase")} AS purchases, {n_of("bounce")} AS bounces, {n_of("add_to_cart")} AS add_to_carts,
+               {mean("session_duration_sec")} AS avg_session_sec
+        FROM {_LAST_DAYS} GROUP BY campaign_id"""),
+    "span_ab_groups": over("clicks", f"""
+        SELECT experiment_group, count(DISTINCT session_id) AS sessions, count(DISTINCT customer_id) AS unique_users,
+               {n_of("purchase")} AS purchases, {n_of("bounce")} AS bounces,
+               {half_up(ratio(n_of("purchase"), "count(DISTINCT session_id)"), 4)} AS conversion_rate,
+               {half_up(mean("session_duration_sec"), 1)} AS avg_session_sec
+        FROM {_LAST_DAYS} GROUP BY experiment_group"""),
+    "span_whole_customer_events": over("event_agg", "SELECT * FROM event_agg"),
+}
