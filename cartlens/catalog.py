@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,8 +255,20 @@ MART_STEPS: dict[str, Report] = {
 # --- spans of days, answered from what an updated publication keeps per day ----------------------
 
 
+_span_roots: WeakKeyDictionary[Warehouse, str] = WeakKeyDictionary()
+
+
 def _span(answer: Callable[[spans.Spans], DataFrame]) -> Report:
-    return lambda w: spans.refreshed(answer, w, new_folder(w.spark, "spans"))
+    """Answered from the second generation; a warehouse's events are published once for all of these."""
+
+    def report(w: Warehouse) -> DataFrame:
+        if w not in _span_roots:
+            root = new_folder(w.spark, "spans")
+            spans.publish_twice(w, root)
+            _span_roots[w] = root
+        return answer(spans.Spans(w.spark, _span_roots[w]))
+
+    return report
 
 
 SPANS: dict[str, Report] = {

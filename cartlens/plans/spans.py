@@ -11,7 +11,7 @@ Events without a time belong to no day: they count where a span has neither end,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,12 +95,12 @@ def _add_sums(run: Publication, events: DataFrame, grain: str, days: list | None
     sums = events.groupBy(grain, DAY).agg(
         F.count("event_id").alias("events"), *kinds, F.sum(seconds).alias("seconds"), F.count(seconds).alias("timed")
     )
-    run.add(sums_table(grain), sums, DAY, days)
+    run.add(sums_table(grain), stage(sums, sums_table(grain)), DAY, days)
 
 
 def _add_bits(run: Publication, events: DataFrame, grain: str, column: str, days: list | None) -> None:
-    words = bit_words(events, [grain, DAY], column, run.table(ids_table(column)))
-    run.add(bits_table(grain, column), words, DAY, days)
+    name = bits_table(grain, column)
+    run.add(name, stage(bit_words(events, [grain, DAY], column, run.table(ids_table(column))), name), DAY, days)
 
 
 def publish_spans(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:
@@ -181,12 +181,10 @@ class Spans:
 SPAN_DAYS = 10
 
 
-def refreshed(answer: Callable[[Spans], DataFrame], w: Warehouse, root: str) -> DataFrame:
-    """Publish the events without their last day and without every third event of the first one, then all of them,
-    and answer from the second generation's span tables."""
+def publish_twice(w: Warehouse, root: str) -> None:
+    """Publish the events without their last day and without every third event of the first one, then all of them."""
     ends = w.events.agg(F.struct(F.min(DAY).alias("first"), F.max(DAY).alias("last"))).scalar()
     earlier = w.events.withColumn("ends", ends)
     earlier = earlier.where((F.col(DAY) < F.col("ends.last")) & ((F.col(DAY) > F.col("ends.first")) | (F.col("event_id") % 3 != 0)))
     publish_spans(w.spark, earlier.drop("ends"), root)
     publish_spans(w.spark, w.events, root)
-    return answer(Spans(w.spark, root))
