@@ -1,7 +1,8 @@
 """Typing and cleaning of the five raw tables.
 
 Every cleaner is one projection over its input, so it runs inside the scan's stage and columns a
-reader does not ask for are never parsed. Inputs may be text (CSV) or already typed (Parquet).
+reader does not ask for are never parsed. Inputs may be text (CSV) or already typed (Parquet). A date column of
+text is read once before, to tell day-first from month-first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.columns import EXACT, MONEY, month_of, trimmed, weekday_name
+from cartlens.operators.date_spelling import read_time
 from cartlens.vocabulary import LOYALTY_TIERS, NO_CAMPAIGN
 
 
@@ -21,8 +23,8 @@ def clean_campaigns(raw: DataFrame) -> DataFrame:
             "channel": trimmed("channel"),
             "objective": trimmed("objective"),
             "target_segment": trimmed("target_segment"),
-            "start_date": F.col("start_date").cast("date"),
-            "end_date": F.col("end_date").cast("date"),
+            "start_date": read_time(raw, "start_date", "date"),
+            "end_date": read_time(raw, "end_date", "date"),
             "expected_uplift": F.col("expected_uplift").cast("double"),
         }
     )
@@ -34,7 +36,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "customer_id": _whole_number(raw, "customer_id"),
-            "signup_date": F.col("signup_date").cast("date"),
+            "signup_date": read_time(raw, "signup_date", "date"),
             "country": F.upper(trimmed("country")),
             "age": F.col("age").try_cast("double"),
             "gender": trimmed("gender"),
@@ -47,7 +49,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 def clean_events(raw: DataFrame) -> DataFrame:
     typed = raw.withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp_ntz"),
+            "timestamp": read_time(raw, "timestamp", "timestamp_ntz"),
             "customer_id": _whole_number(raw, "customer_id"),
             "event_type": trimmed("event_type"),
             "product_id": _whole_number_or_null(raw, "product_id"),
@@ -75,7 +77,7 @@ def clean_products(raw: DataFrame) -> DataFrame:
             "category": trimmed("category"),
             "brand": trimmed("brand"),
             "base_price": F.col("base_price").try_cast(MONEY),
-            "launch_date": F.col("launch_date").cast("date"),
+            "launch_date": read_time(raw, "launch_date", "date"),
             "is_premium": _flag(raw, "is_premium"),
         }
     )
@@ -84,7 +86,7 @@ def clean_products(raw: DataFrame) -> DataFrame:
 def clean_transactions(raw: DataFrame) -> DataFrame:
     typed = raw.withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp_ntz"),
+            "timestamp": read_time(raw, "timestamp", "timestamp_ntz"),
             "customer_id": _whole_number(raw, "customer_id"),
             "product_id": _whole_number_or_null(raw, "product_id"),
             "quantity": _whole_number(raw, "quantity").cast("int"),
