@@ -7,7 +7,7 @@
     python -m cartlens write   <warehouse> <report> <folder>   the whole report as CSV
     python -m cartlens sql     <warehouse> <statement> [--rows N]
     python -m cartlens report  <warehouse> <folder>            workbook tables
-    python -m cartlens star    <warehouse> <folder>            BI star schema
+    python -m cartlens star    <warehouse> <folder> [--verify] BI star schema
     python -m cartlens charts  <warehouse> <folder>            chart datasets
     python -m cartlens list
 """
@@ -26,7 +26,7 @@ from cartlens.plans.spans import Spans, keep_spans
 from cartlens.plans.warehouse import build_warehouse, open_warehouse, register_views, save_in_catalog
 from cartlens.session import build_session
 from cartlens.sources import generations
-from cartlens.sources.csv import scan_all_csv, write_all_csv, write_csv
+from cartlens.sources.csv import differing_csv, scan_all_csv, write_all_csv, write_csv
 from cartlens.sources.stage import clear_stage
 
 REPORTS = [name for name in CATALOG if name not in NEEDS_RAW]
@@ -58,6 +58,8 @@ def parsed(arguments: list[str] | None) -> argparse.Namespace:
         if action == "spans":
             sub.add_argument("--first", help="first day, ISO text")
             sub.add_argument("--last", help="last day, ISO text")
+        if action in ("report", "star", "charts"):
+            sub.add_argument("--verify", action="store_true", help="read the files back and compare all rows")
         if action == "build":
             sub.add_argument("--catalog", action="store_true", help="also save the tables in the catalog")
     return parser.parse_args(arguments)
@@ -104,11 +106,14 @@ def answer(spark: SparkSession, given: argparse.Namespace) -> None:
         write_csv(CATALOG[given.report](warehouse), given.folder)
     else:
         if given.action == "report":
-            written = workbook.write_report_tables(warehouse, given.folder)
+            tables = workbook.report_tables(warehouse)
         elif given.action == "star":
-            written = write_all_csv(star.exports(warehouse), given.folder)
+            tables = star.exports(warehouse)
         else:
-            written = write_all_csv({name: report(warehouse) for name, report in charts.REPORTS.items()}, given.folder)
+            tables = {name: report(warehouse) for name, report in charts.REPORTS.items()}
+        written = write_all_csv(tables, given.folder)
+        if given.verify and (differing := differing_csv(tables, written).collect()):
+            raise SystemExit("\n".join(f"{row.table_name}: {row.rows} rows, other than the {row.rows_in_files} in its files" for row in differing))
         for name, path in written.items():
             print(f"{name}: {path}")
 

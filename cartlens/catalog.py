@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.columns import ratio, round_half_even
-from cartlens.operators.profile import profile_all, table_sizes, value_sums_all
+from cartlens.operators.date_spelling import spelling_orders
+from cartlens.operators.profile import profile_all, row_sums_all, table_sizes, value_sums_all
 from cartlens.plans import (
     behaviour,
     campaigns,
@@ -26,7 +27,7 @@ from cartlens.plans import (
 from cartlens.plans.clean import CLEANERS, clean_transactions
 from cartlens.plans.publish import CHANGES, Publication, open_published, publish_warehouse
 from cartlens.plans.warehouse import Warehouse, build_warehouse
-from cartlens.sources.csv import scan_csv, write_all_csv, write_csv
+from cartlens.sources.csv import differing_csv, read_text, scan_csv, write_all_csv, write_csv
 from cartlens.sources.generations import publish
 from cartlens.sources.schemas import RAW_COLUMNS
 from cartlens.sources.stage import new_folder, stage
@@ -53,6 +54,25 @@ def csv_line_breaks(w: Warehouse) -> DataFrame:
     return clean_transactions(scan_csv(w.spark, path, RAW_COLUMNS["transactions"], multi_line=True))
 
 
+# Spellings of a time of day on a date, one for each remainder of the product's number.
+SPELLINGS = ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "M.d.yyyy hh:mm:ss a", "d MMMM yyyy HH:mm:ss"]
+
+
+def mixed_spellings(w: Warehouse) -> DataFrame:
+    """Raw transactions with their time as text in four spellings."""
+    no = F.col("product_id") % len(SPELLINGS)
+    spelled = [F.when(no == key, F.date_format("timestamp", form)) for key, form in enumerate(SPELLINGS)]
+    return w.raw["transactions"].withColumn("timestamp", F.coalesce(*spelled))
+
+
+def clean_mixed_spellings(w: Warehouse) -> DataFrame:
+    return clean_transactions(mixed_spellings(w))
+
+
+def date_orders(w: Warehouse) -> DataFrame:
+    return spelling_orders(mixed_spellings(w), "timestamp")
+
+
 def ingest_rowcount(w: Warehouse) -> DataFrame:
     return table_sizes(w.raw)
 
@@ -91,6 +111,18 @@ def star_csv_values(w: Warehouse) -> DataFrame:
     return _read_back(w, write_all_csv(star.exports(w), new_folder(w.spark, "star")))
 
 
+def star_csv_rows(w: Warehouse) -> DataFrame:
+    """The same exports; sums of the digests of the rows that are read back."""
+    paths = write_all_csv(star.exports(w), new_folder(w.spark, "star"))
+    return row_sums_all({name: read_text(w.spark, path) for name, path in paths.items()}, by_value=True)
+
+
+def star_csv_differing(w: Warehouse) -> DataFrame:
+    """Exports whose files differ from what was to be written."""
+    exports = star.exports(w)
+    return differing_csv(exports, write_all_csv(exports, new_folder(w.spark, "star")))
+
+
 def report_table_values(w: Warehouse) -> DataFrame:
     return _read_back(w, workbook.write_report_tables(w, new_folder(w.spark, "report-tables")))
 
@@ -163,6 +195,8 @@ SOURCES: dict[str, Report] = {
     "post_load_count": loaded_counts,
     "scan_table": scan_events,
     "write_csv_star": star_csv_values,
+    "write_csv_star_rows": star_csv_rows,
+    "write_csv_star_differing": star_csv_differing,
     "report_tables": report_table_values,
     "build_warehouse": full_build,
     "publish_warehouse": refreshed_build,
@@ -175,6 +209,8 @@ CLEANING: dict[str, Report] = {
     "clean_events": lambda w: w.events,
     "clean_products": lambda w: w.products,
     "clean_transactions": lambda w: w.transactions,
+    "clean_date_spellings": clean_mixed_spellings,
+    "date_orders": date_orders,
     "clean_all_null_report": null_report,
 }
 
@@ -279,7 +315,10 @@ SPANS: dict[str, Report] = {
 }
 
 # Answered from the raw tables, which a warehouse opened from disk does not have.
-NEEDS_RAW = ("scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse", "publish_warehouse", "publish_changes")
+NEEDS_RAW = (
+    "scan_csv", "scan_csv_line_breaks", "ingest_rowcount", "profile_raw", "build_warehouse", "publish_warehouse",
+    "publish_changes", "clean_date_spellings", "date_orders",
+)
 
 CATALOG: dict[str, Report] = {
     **SOURCES,

@@ -302,7 +302,11 @@ SECTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
 
 def write_report_tables(w: Warehouse, folder: str) -> dict[str, str]:
     """Every section as CSV with sheet headers below `folder`; the path of each by name."""
-    return write_all_csv({name: titled(section(w)) for name, section in SECTIONS.items()}, folder)
+    return write_all_csv(report_tables(w), folder)
+
+
+def report_tables(w: Warehouse) -> dict[str, DataFrame]:
+    return {name: titled(section(w)) for name, section in SECTIONS.items()}
 
 
 REPORTS = {

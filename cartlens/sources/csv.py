@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.columns import named
+from cartlens.operators.profile import row_sums_all
 from cartlens.sources.csv_ranges import records
 from cartlens.sources.schemas import RAW_COLUMNS, text_schema
 from cartlens.vocabulary import NULL_TOKENS
 
 
 CORRUPT = "_corrupt_record"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
@@ -69,20 +71,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
     A timestamp is written with its full time, a number in plain notation and a null as an empty field.
     """
-    fractional = (T.DoubleType, T.FloatType, T.DecimalType)
-    plain = [
-        _plain_number(field.name) if isinstance(field.dataType, fractional) else named(field.name)
-        for field in df.schema
-    ]
     (
-        df.select(plain)
+        _rendered(df)
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        .option("timestampNTZFormat", TIME_FORMAT)
         .csv(path)
     )
 
@@ -95,6 +92,39 @@ def write_all_csv(exports: dict[str, DataFrame], folder: str) -> dict[str, str]:
     return paths
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """A written CSV folder as text columns, an empty field as null."""
+    options = {"header": True, "escape": '"', "multiLine": True}
+    return spark.read.options(**options).csv(path)
+
+
+def differing_csv(exports: dict[str, DataFrame], paths: dict[str, str]) -> DataFrame:
+    """Of written frames those whose files hold other rows: table_name, rows, rows_in_files.
+
+    Order-free sums of row digests, of the frame as text and of what is read back, so any value that was lost,
+    changed or exchanged between rows shows. The frames are computed once more."""
+    frames, files = {}, {}
+    for name, df in exports.items():
+        files[name] = read_text(df.sparkSession, paths[name])
+        times = {f.name: F.date_format(named(f.name), TIME_FORMAT) for f in df.schema if f.dataType == T.TimestampNTZType()}
+        frames[name] = _rendered(df).withColumns(times) if times else _rendered(df)
+    written, found = row_sums_all(frames).alias("w"), row_sums_all(files).alias("f")
+    same = (F.col("w.first_sum") == F.col("f.first_sum")) & (F.col("w.second_sum") == F.col("f.second_sum"))
+    return (
+        written.join(found, "table_name")
+        .where(~same | (F.col("w.row_count") != F.col("f.row_count")))
+        .select("table_name", F.col("w.row_count").alias("rows"), F.col("f.row_count").alias("rows_in_files"))
+    )
+
+
+def _rendered(df: DataFrame) -> DataFrame:
+    fractional = (T.DoubleType, T.FloatType, T.DecimalType)
+    return df.select([
+        _plain_number(field.name) if isinstance(field.dataType, fractional) else named(field.name)
+        for field in df.schema
+    ])
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     # With a header and no data-driven inference Spark reads one line here and types nothing.
     return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).columns

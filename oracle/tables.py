@@ -117,6 +117,21 @@ def values(tables: dict[str, str]) -> str:
     ])
 
 
+def row_sums(tables: dict[str, str]) -> str:
+    """Sums of 60 bits each of the digests of the query's rows, by label."""
+    number = "CAST(round(TRY_CAST(v AS DECIMAL(38,6)), 3) AS DECIMAL(38,3))::VARCHAR"
+    return _union([
+        f"""SELECT '{label}' AS table_name, count(*) AS row_count,
+                   coalesce(sum(CAST('0x' || substr(digest, 1, 15) AS BIGINT)), 0)::VARCHAR AS first_sum,
+                   coalesce(sum(CAST('0x' || substr(digest, 17, 15) AS BIGINT)), 0)::VARCHAR AS second_sum
+            FROM (SELECT md5(string_agg(coalesce(length(t) || ':' || t, '-'), '' ORDER BY column_name)) AS digest
+                  FROM (SELECT r, column_name, coalesce({number}, nullif(v, '')) AS t
+                        FROM (FROM (SELECT row_number() OVER () AS r, COLUMNS(*)::VARCHAR FROM ({query}))
+                              UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(* EXCLUDE r))))) GROUP BY r)"""
+        for label, query in tables.items()
+    ])
+
+
 def titled(sums: str) -> str:
     """Sheet headers in place of column names."""
     return f"""SELECT * REPLACE (array_to_string(
@@ -226,15 +241,23 @@ MART_SQL = {
     "mart_customer_360": SQL["customer_360"], "mart_campaign_performance": SQL["campaign_performance"],
     "mart_funnel": SQL["funnel"], "mart_product_performance": SQL["product_performance"],
 }
+STAR_SQL = {
+    "fact_transactions": SQL["fact_transactions"], "dim_customers": SQL["dim_customers"],
+    "dim_campaigns": SQL["dim_campaigns"], "dim_products": SQL["dim_products"], "dim_date": SQL["dim_date"],
+    "mart_customer_360": SQL["pbi_customer_360"], "mart_campaign_perf": SQL["pbi_campaign_perf"],
+    "mart_funnel": SQL["pbi_funnel"], "mart_product_perf": SQL["pbi_product_perf"],
+}
 SQL |= {
     "build_all": values(MART_SQL),
     "build_warehouse": values({t: SQL[f"clean_{t}"] for t in RAW_TYPES} | MART_SQL),
-    "write_csv_star": values({
-        "fact_transactions": SQL["fact_transactions"], "dim_customers": SQL["dim_customers"],
-        "dim_campaigns": SQL["dim_campaigns"], "dim_products": SQL["dim_products"], "dim_date": SQL["dim_date"],
-        "mart_customer_360": SQL["pbi_customer_360"], "mart_campaign_perf": SQL["pbi_campaign_perf"],
-        "mart_funnel": SQL["pbi_funnel"], "mart_product_perf": SQL["pbi_product_perf"],
-    }),
+    "write_csv_star": values(STAR_SQL),
+    "write_csv_star_rows": row_sums(STAR_SQL),
+    "write_csv_star_differing": """
+        SELECT '' AS table_name, CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS rows_in_files WHERE false""",
+    "clean_date_spellings": SQL["clean_transactions"],
+    "date_orders": """
+        SELECT 'timestamp' AS column_name, '/' AS separator, 'day first' AS date_order
+        UNION ALL SELECT 'timestamp', '.', 'month first'""",
 }
 SQL |= {
     "publish_warehouse": SQL["build_warehouse"],
