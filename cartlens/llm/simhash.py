@@ -9,6 +9,11 @@ bits of an anchor. A fingerprint goes to its own nearest anchor and to every anc
 RADIUS + THRESHOLD bits; if y is linked to x, y is that close to the nearest anchor of x, so the two
 meet there. Each anchor compares those it is the nearest of with all it was sent.
 
+An anchor that is sent more than HOT fingerprints is split. Two bits cannot touch all three thirds of a
+fingerprint, so linked ones agree on one: the rows of such an anchor meet by (third, its bits) instead, and
+the anchor's own are dealt into blocks of about OWN, of which each is held in memory while the others' rows
+stream past. So no task holds a whole hot anchor, and no pair is lost.
+
 Equal fingerprints are one class from the start. Anchors report spanning links of what they found, not
 all pairs, and classes, links and components stay tables.
 
@@ -25,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +47,10 @@ RADIUS = 6
 # From this many fingerprints at one anchor, only those that agree on a third of the bits are compared.
 LARGE = 2000
 PAIRS = 1 << 21
+# Rows sent to an anchor above which it is split, and its own fingerprints in a block of a split one.
+HOT = 1 << 16
+OWN = 1 << 14
+THIRDS = ((0, 21), (21, 21), (42, 22))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -163,12 +172,42 @@ def links(classes: DataFrame) -> DataFrame:
             )
 
     sent = classes.select("fingerprint").mapInArrow(spread, "anchor long, fingerprint long, nearest boolean")
-    met = sent.repartition("anchor").sortWithinPartitions("anchor")
+    met = split(sent).repartition("anchor").sortWithinPartitions("anchor", F.desc("nearest"))
     return met.mapInArrow(compare, "a long, b long")
 
 
+def split(sent: DataFrame, hot: int = HOT, own: int = OWN) -> DataFrame:
+    """`sent` (anchor, fingerprint, nearest) with the anchors that more than `hot` rows were sent to split into
+    meeting places of their own, named by hash: should two have one name, they only compare more."""
+    counts = sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("nearest").alias("own"))
+    # At most 1 / hot of the rows; the planner joins it by its written size.
+    wide = stage(counts.where(F.col("n") > hot).select("anchor", "own"), "hot-anchors")
+    blocks = F.greatest(F.ceil(F.col("own") / own), F.lit(1))
+    mine = F.pmod(F.xxhash64("fingerprint"), blocks)
+    thirds = F.array(*[
+        F.struct(
+            F.lit(shift).alias("third"),
+            F.shiftrightunsigned("fingerprint", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("bits"),
+        )
+        for shift, width in THIRDS
+    ])
+
+    def place(third: Column, block: Column) -> Column:
+        return F.struct(
+            F.xxhash64("anchor", third["third"], third["bits"], block).alias("anchor"),
+            (F.col("nearest") & (block == mine)).alias("nearest"),
+        )
+
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    several = F.flatten(F.transform(thirds, lambda third: F.transform(every, lambda block: place(third, block))))
+    places = F.when(F.col("own").isNull(), F.array(F.struct("anchor", "nearest"))).otherwise(several)
+    met = sent.join(wide, "anchor", "left").select("fingerprint", F.inline(places))
+    return met.select("anchor", "fingerprint", "nearest")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of sorted batches, joined and cut so that no anchor is split between two."""
+    """Columns of sorted batches, joined and cut so that no anchor is split between two; of an anchor with more
+    than `rows`, its own, which stand first, are repeated with each part of the others."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
@@ -179,6 +218,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iter
         if cut:
             yield anchor[:cut], prints[:cut].view(np.uint64), nearest[:cut]
         held = [[anchor[cut:], prints[cut:], nearest[cut:]]]
+        if not cut and not nearest.all():
+            yield anchor, prints.view(np.uint64), nearest
+            own = int(nearest.sum())
+            held = [[anchor[:own], prints[:own], nearest[:own]]]
     if held:
         anchor, prints, nearest = (np.concatenate(x) for x in zip(*held))
         yield anchor, prints.view(np.uint64), nearest
@@ -192,7 +235,7 @@ def close_pairs(anchor: np.ndarray, prints: np.ndarray, nearest: np.ndarray) ->
     for start, size in zip(starts[sizes >= LARGE], sizes[sizes >= LARGE]):
         # Two bits cannot touch all three parts of a fingerprint, so linked ones agree on a part.
         rows = slice(start, start + size)
-        for shift, width in ((0, 21), (21, 21), (42, 22)):
+        for shift, width in THIRDS:
             part = prints[rows] >> np.uint64(shift) & np.uint64((1 << width) - 1)
             order = start + np.argsort(part, kind="stable")
             part = np.sort(part)

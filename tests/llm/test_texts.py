@@ -1,12 +1,16 @@
 """Deduplication, token counts and packing against brute force."""
 
+import functools
 import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cartlens.llm import graph, packing, repeats, simhash, substring, suffix, tokens
@@ -207,6 +211,42 @@ def test_every_close_pair_meets_at_an_anchor():
         assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == expected
 
 
+def family(seed=5, n=400):
+    """Fingerprints around one anchor and some others; the pairs of them within two bits."""
+    draw = np.random.default_rng(seed)
+    base = draw.integers(0, 1 << 63, 1, dtype=np.uint64)[0]
+    flips = np.uint64(1) << draw.integers(0, 64, (n, 3)).astype(np.uint64)
+    prints = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(flips, axis=1), draw.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    pairs = {(int(a), int(b)) for a in prints for b in prints if a < b and int(a ^ b).bit_count() <= 2}
+    return prints, pairs
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    prints, expected = family()
+    anchor, who, nearest = simhash.anchors_of(prints)
+    sent = spark.createDataFrame(
+        pd.DataFrame({"anchor": anchor, "fingerprint": prints[who].view(np.int64), "nearest": nearest})
+    )
+    assert simhash.split(sent).exceptAll(sent).count() == 0 and simhash.split(sent).count() == sent.count()
+    met = simhash.split(sent, hot=60, own=25).toPandas().sort_values(["anchor", "nearest"], ascending=[True, False])
+    assert sent.groupBy("anchor").count().agg(F.max("count")).first()[0] > 300
+    assert met[met.nearest].groupby("anchor").size().max() <= 60
+    columns = met.anchor.to_numpy(), met.fingerprint.to_numpy(), met.nearest.to_numpy()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + 7]) for c in columns], names=["a", "f", "n"])
+               for at in range(0, len(met), 7)]
+    for rows in (20, 100_000):
+        found = set()
+        for part in simhash.whole_groups(iter(batches), rows):
+            a, b = simhash.close_pairs(*part)
+            found |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+        assert found == expected
+    # the same through the whole join
+    monkeypatch.setattr(simhash, "split", functools.partial(simhash.split, hot=60, own=25))
+    found = graph.components(simhash.links(spark.createDataFrame([(p,) for p in prints.view(np.int64).tolist()], "fingerprint long")))
+    linked = graph.components(spark.createDataFrame([tuple(np.array(p, np.uint64).view(np.int64).tolist()) for p in expected], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in linked.collect()}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 50 + i) for i in range(30)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
