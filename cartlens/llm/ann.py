@@ -1,11 +1,13 @@
 """Nearest neighbours by largest inner product with an adaptive scan over dimensions.
 
-Vectors are dealt into lists around centroids (fitted on a bounded sample), and a query probes the
-`probes` share of lists whose centroids promise most. Vectors and queries are turned by a random rotation and
-scanned in blocks of columns. After every block a hypothesis test abandons candidates: what is still
-missing of the inner product is, after the rotation, normal around 0 with deviation
-|rest of q| * |rest of x| / sqrt(columns left), so a candidate stays only while its part plus `z` deviations
-reaches the query's worst kept neighbour, or while the largest value possible is below the exact bound's.
+Vectors are dealt into lists around centroids (fitted on a bounded sample). A query probes the
+`probes` share of lists whose centroids promise most, and each further list unless the angles and lengths of its
+vectors rule out that one reaches the query's bar. Vectors and queries, at unit length, are turned by a random
+rotation and scanned in blocks of columns. After every block a hypothesis test abandons candidates. A rotation spreads
+the difference of any two vectors evenly, however the vectors lie: d of D columns hold d/D of its square, with
+deviation sqrt(2 d (D - d) / (D + 2)) / D. A candidate whose cosine reaches what the bar asks of a vector of its
+length differs by at most 2 - 2 cosines in square; it stays while the columns seen hold no more of that than their
+share and `z` deviations, and goes for certain once the columns left cannot make up for what is missing.
 
 The bar is set before the lists are scanned: a query's `k`-th best among a few thousand reference vectors of the
 sample. These count as found, whatever lists it probes. While a test leaves many
@@ -39,7 +41,9 @@ EVERY = 20
 SAMPLE = 20_000
 MAX_LISTS = 1024
 PROBES = 0.9
-Z = 3.0
+Z = 4.0
+# What rounding may take from a cosine.
+ROUNDING = 1e-9
 COLUMNS = 16
 REFERENCES = 4_096
 # Lists per square root of the number of vectors.
@@ -70,8 +74,21 @@ class Index:
         return (x @ self.centroids.T).argmax(axis=1)
 
     def probed(self, x: np.ndarray, probes: float) -> np.ndarray:
+        """Places of the best `probes` share of lists for each vector, as a mask."""
         n = max(1, math.ceil(self.lists * probes))
-        return np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        mask = np.zeros((len(x), self.lists), bool)
+        np.put_along_axis(mask, np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :n], True, axis=1)
+        return mask
+
+    def most(self, x: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """The largest inner product that a vector of each list can have with each of `x`.
+
+        `spans` has the smallest cosine to the centroid, the smallest and the largest length of each list."""
+        lowest, shortest, longest = spans
+        length = lengths(x)[:, None]
+        apart = np.arccos(np.clip(x / length @ self.centroids.T, -1, 1)) - np.arccos(np.clip(lowest, -1, 1))
+        cosine = np.cos(np.maximum(apart, 0)) + ROUNDING
+        return length * np.where(cosine > 0, cosine * longest, cosine * shortest)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -98,7 +115,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> I
     reference_ids, references = reference_ids[by_id], x[:REFERENCES][by_id]
     random = np.random.default_rng(SEED)
     rotation = np.linalg.qr(random.normal(size=(x.shape[1], x.shape[1])))[0]
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / lengths(x)[:, None]
     count = min(lists or math.ceil(LISTS * math.sqrt(n)), MAX_LISTS, len(x))
     centroids = x[random.choice(len(x), count, replace=False)]
     for _ in range(5):
@@ -111,22 +128,32 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> I
 
 
 def listed(vectors: DataFrame, index: Index) -> DataFrame:
-    """vec_id, embedding and list of every vector."""
+    """vec_id, embedding, list, cosine to its centroid and length of every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("embedding"), batch.num_rows)
+            length, of = lengths(x), index.nearest(x)
+            cosine = (x / length[:, None] * index.centroids[of]).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"), pa.array(index.nearest(x).astype(np.int32))],
-                names=["vec_id", "embedding", "list"],
+                [batch.column("vec_id"), batch.column("embedding"), pa.array(of.astype(np.int32)), pa.array(cosine), pa.array(length)],
+                names=["vec_id", "embedding", "list", "cosine", "length"],
             )
 
-    return vectors.mapInArrow(run, "vec_id long, embedding array<double>, list int")
+    return vectors.mapInArrow(run, "vec_id long, embedding array<double>, list int, cosine double, length double")
+
 
+def spans_of(dealt: DataFrame, index: Index) -> np.ndarray:
+    """Smallest cosine, smallest and largest length of each list (one row of them for each of at most MAX_LISTS)."""
+    spans = np.stack([np.ones(index.lists), np.zeros(index.lists), np.zeros(index.lists)])
+    for row in dealt.groupBy("list").agg(F.min("cosine"), F.min("length"), F.max("length")).collect():
+        spans[:, row[0]] = row[1:]
+    return spans
 
-def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFrame:
+
+def probing(queries: DataFrame, index: Index, spans: np.ndarray, probes: float, k: int) -> DataFrame:
     """vec_id, embedding, bar, probed lists and best references (ids, scores) of every query."""
 
     firsts = runs(index.reference_ids)
@@ -139,17 +166,17 @@ def probing(queries: DataFrame, index: Index, probes: float, k: int) -> DataFram
             probed, bars, ids, scores = [], [], [], []
             for at in range(0, len(x), GROUP):
                 q = x[at : at + GROUP]
-                lists = index.probed(q, probes).astype(np.int32)
+                lists, most = index.probed(q, probes), index.most(q, spans)
                 near = q @ index.references.T
                 near[own[at : at + GROUP, None] == index.reference_ids[None]] = -np.inf
                 of_ids = np.maximum.reduceat(near, firsts, axis=1)
-                for row, best, mine, vector in zip(near, of_ids, lists, q):
+                for row, best, mine, reach, vector in zip(near, of_ids, lists, most, q):
                     if len(best) >= k and np.isfinite(bar := np.partition(best, len(best) - k)[len(best) - k]):
                         bar -= 1e-9 * np.linalg.norm(vector) * np.linalg.norm(index.references, axis=1).max()
                     else:
                         bar = -np.inf
                     good = np.flatnonzero((row >= bar) & np.isfinite(row))
-                    probed.append(mine)
+                    probed.append(np.flatnonzero(mine | ~(reach < bar)).astype(np.int32))
                     bars.append(bar)
                     exact, found = (vector * index.references[good]).sum(axis=1), index.reference_ids[good]
                     starts = runs(found)
@@ -173,6 +200,14 @@ def runs(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Length of each row, also where squares would leave the range of doubles."""
+    most = np.abs(x).max(axis=1, initial=0)
+    most[most == 0] = 1
+    norms = np.linalg.norm(x / most[:, None], axis=1)
+    return np.where(norms > 0, norms, 1) * most
+
+
 def matrix(column: pa.ListArray, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
@@ -182,32 +217,37 @@ def scan(queries, ids, vectors, own, rotation, k: int, z: float, bar=None):
 
     Vectors come in strips. `bar` is what a query's candidates must reach; it rises with what is found.
     """
-    q, x = queries @ rotation, vectors @ rotation
+    long_q, long_x = lengths(queries), lengths(vectors)
+    q, x = queries / long_q[:, None] @ rotation, vectors / long_x[:, None] @ rotation
     n_columns = q.shape[1]
     edges = [*range(0, n_columns, COLUMNS), n_columns]
     # Lengths of what is left from each edge on.
     left_q = np.stack([np.sqrt((q[:, e:] ** 2).sum(axis=1)) for e in edges], axis=1)
     left_x = np.stack([np.sqrt((x[:, e:] ** 2).sum(axis=1)) for e in edges], axis=1)
+    # The most that the columns before each edge hold of a difference.
+    shares = [e / n_columns + z * math.sqrt(2 * e * (n_columns - e) / (n_columns + 2)) / n_columns for e in edges]
     bar = np.full(len(q), -np.inf) if bar is None else bar.astype(np.float64).copy()
     kept_q, kept_x, kept_s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     for at in range(0, len(x), STRIP):
         strip = slice(at, at + STRIP)
         part = np.zeros((len(q), len(ids[strip])))
         alive = own[:, None] != ids[strip][None]
+        # The cosine that takes a vector of this length to the bar.
+        need = (bar / long_q)[:, None] / long_x[strip][None]
         i = 0
         while i < len(edges) - 1 and alive.mean() > DENSE:
             a, b = edges[i], edges[i + 1]
             part += q[:, a:b] @ x[strip, a:b].T
             i += 1
-            alive &= part + _reach(left_q[:, i][:, None], left_x[strip, i][None], n_columns - b, z) >= bar[:, None]
+            alive &= ~_missed(part, left_q[:, i][:, None], left_x[strip, i][None], need, shares[i])
         who, what = np.nonzero(alive)
-        partial, what = part[who, what], what + at
+        partial, need, what = part[who, what], need[who, what], what + at
         while i < len(edges) - 1:
             a, b = edges[i], edges[i + 1]
             partial = partial + np.einsum("ij,ij->i", q[who, a:b], x[what, a:b])
             i += 1
-            stay = partial + _reach(left_q[who, i], left_x[what, i], n_columns - b, z) >= bar[who]
-            who, what, partial = who[stay], what[stay], partial[stay]
+            stay = ~_missed(partial, left_q[who, i], left_x[what, i], need, shares[i])
+            who, what, partial, need = who[stay], what[stay], partial[stay], need[stay]
         # Equal vectors must tie exactly: scores are summed anew, row by row, on the originals.
         exact = (queries[who] * vectors[what]).sum(axis=1)
         kept_q, kept_x, kept_s = np.append(kept_q, who), np.append(kept_x, what), np.append(kept_s, exact)
@@ -222,15 +262,16 @@ def scan(queries, ids, vectors, own, rotation, k: int, z: float, bar=None):
         kept_q, kept_x, kept_s, rank = kept_q[top], kept_x[top], kept_s[top], rank[top]
         last = rank == k - 1
         who = kept_q[last]
-        bar[who] = np.maximum(bar[who], kept_s[last] - 1e-9 * left_q[who, 0] * left_x[:, 0].max())
+        bar[who] = np.maximum(bar[who], np.minimum(kept_s[last], np.finfo(np.float64).max))
     return kept_q, kept_x, kept_s
 
 
-def _reach(left_q, left_x, columns: int, z: float):
-    """How much the missing columns may add: z deviations, never more than the product of lengths."""
-    if not columns:
-        return 0.0
-    return left_q * left_x * min(1.0, z / math.sqrt(columns))
+def _missed(part, left_q, left_x, need, share: float):
+    """True where a cosine of which `part` is seen falls short of `need`: for certain, or by the share of the
+    difference that was seen."""
+    lost = part + left_q * left_x < need - ROUNDING
+    seen = 1 - (left_q**2 + left_x**2) / 2 - part
+    return lost | (seen > (np.maximum(1 - need, 0) + ROUNDING) * share + ROUNDING)
 
 
 def neighbours(
@@ -243,7 +284,7 @@ def neighbours(
         empty = vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return empty.where("false")
     dealt = stage(listed(vectors, index), "listed")
-    asked_all = stage(probing(queries, index, probes, k), "asking")
+    asked_all = stage(probing(queries, index, spans_of(dealt, index), probes, k), "asking")
     asking = asked_all.select("vec_id", "embedding", "bar", F.explode("lists").alias("list"))
     # A number for each list: at most MAX_LISTS rows.
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))

@@ -344,6 +344,39 @@ def test_scan_keeps_the_best_row_of_each_id():
         assert sorted(ids[what[who == i]]) == sorted(best)
 
 
+def shaped_vectors(shape):
+    """1,200 vectors of 48 columns: close together, of very different lengths, or in a cone with a few far out."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(1200, 48))
+    if shape == "tight":
+        return draw.normal(size=48) + draw.normal(size=(12, 48))[np.arange(1200) % 12] / 4 + x / 40
+    if shape == "lengths":
+        return x * np.exp(draw.normal(size=(1200, 1)) * 3)
+    if shape == "huge":
+        return x * 1e200 * np.exp(draw.normal(size=(1200, 1)))
+    x = x / 10 + np.eye(48)[0] * 4
+    x[1::20] = 10 * (np.eye(48)[0] + 3 * np.eye(48)[1] + x[1::20] - x.mean(axis=0))
+    return x
+
+
+@pytest.mark.parametrize("shape", ["tight", "lengths", "huge", "cone"])
+def test_nearest_of_rows_that_are_not_spread_evenly(spark, monkeypatch, shape):
+    monkeypatch.setattr(ann, "REFERENCES", 100)
+    x = shaped_vectors(shape)
+    vectors = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(set)
+    for r in ann.self_neighbours(vectors, probes=0.1 if shape == "cone" else ann.PROBES).collect():
+        found[r.query_id].add(r.vec_id)
+    hits, scaled = 0, x / np.abs(x).max()
+    for q in range(0, 1200, 20):
+        scores = scaled @ scaled[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    # Products beyond the range of doubles are all as large: there, the smaller ids count.
+    assert all(len(found[q]) == 20 for q in range(0, 1200, 20))
+    assert shape == "huge" or hits / 1200 >= 0.99
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 
