@@ -7,10 +7,14 @@ Read by themselves: ISO dates and times, the year first with slashes or dots, ei
 eliminates the order that some row refutes (`25/03/2024` is no month). What is left holds for every row with this
 separator. If nothing is left, if nothing was refuted and a row reads differently either way, or if a text is no
 date at all, reading such a row is an error that shows examples. A null is null.
+
+Each pattern is searched once in a text: what it gives is bound before it is used more than once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +23,11 @@ from cartlens.functions.columns import named, trimmed
 from cartlens.vocabulary import MONTHS
 
 # What the year-last spelling becomes in ISO order.
-YEAR_LAST = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
+NUMBERS = r"(\d{1,2})([/.-])(\d{1,2})\2(\d{4})"
+YEAR_LAST = f"^{NUMBERS}$"
 DAY_FIRST, MONTH_FIRST = "$4-$3-$1", "$4-$1-$3"
+# What marks texts taken apart: read by themselves, or by the order that all rows tell.
+ALONE, LATER = "=", r"^\?"
 SEPARATORS = {"slash": "/", "dot": ".", "dash": "-"}
 
 YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})$"
@@ -37,31 +44,40 @@ def read_time(df: DataFrame, name: str, kind: str) -> Column:
     the elimination is a scalar subquery over the rows that do not read by themselves."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return named(name).cast(kind)
-    text = named(name)
-    found, separator = spelling(df, name, kind).scalar(), _separator(text)
-
-    def of_separator(field: str) -> Column:
-        return F.coalesce(*[F.when(separator == sign, found[label][field]) for label, sign in SEPARATORS.items()])
-
+    text, found = named(name), spelling(df, name, kind).scalar()
+    # One chain, so that a text is taken apart once. An order that nothing tells leaves its texts unread.
+    ordered = _taken_apart(text)
+    for label, sign in SEPARATORS.items():
+        order = F.coalesce(found[label]["order"], F.lit("$0"))
+        ordered = F.regexp_replace(ordered, F.lit(LATER + NUMBERS.replace("[/.-]", f"[{sign}]")), order)
+    moment = F.regexp_replace(ordered, f"^{ALONE}", "").try_cast("timestamp_ntz").cast(kind)
+    separator = _separator(_taken_apart(text))
+    told = F.coalesce(*[F.when(separator == sign, found[label]["message"]) for label, sign in SEPARATORS.items()])
     # A text that fits nothing is cast with the message as its value, and fails like any other that is no date.
-    message = F.coalesce(of_separator("message"), found["unreadable"])
-    return F.coalesce(
-        _alone(text, kind), _year_last(text, of_separator("order"), kind), F.when(text.isNotNull(), message).cast(kind)
-    )
+    message = F.coalesce(told, found["unreadable"])
+    return F.coalesce(text.try_cast(kind), moment, F.when(text.isNotNull(), message).cast(kind))
 
 
 def spelling(df: DataFrame, name: str, kind: str) -> DataFrame:
     """One row of what all dates of a text column tell: per separator the `order` they were written in, or a
     `message` why there is none, and a message on those that are no dates."""
     text = named(name)
-    read = df.where(text.isNotNull() & _alone(text, kind).isNull()).select(
-        text.alias("text"),
-        _separator(text).alias("separator"),
-        _year_last(text, F.lit(DAY_FIRST), kind).alias("by_day"),
-        _year_last(text, F.lit(MONTH_FIRST), kind).alias("by_month"),
-    )
+    # Rows that cast as they stand are not taken apart. No row is filtered: a filter would do it once more.
+    rest, later = F.substr(F.col("apart"), F.lit(2)), F.col("apart").startswith(F.lit("?"))
+
+    def moment(order: str) -> Column:
+        return F.when(later, F.regexp_replace(rest, "^" + NUMBERS, order).try_cast("timestamp_ntz").cast(kind))
+
+    alone = F.when(F.col("apart").startswith(F.lit(ALONE)), rest.try_cast("timestamp_ntz"))
+    open_ = F.col("text").isNotNull() & F.col("cast").isNull() & F.col("alone").isNull()
+    apart = df.select(text.alias("text"), text.try_cast(kind).alias("cast"))
+    apart = apart.select("text", "cast", F.when(F.col("cast").isNull(), _taken_apart(F.col("text"))).alias("apart"))
+    read = apart.select(
+        "text", "cast", alone.alias("alone"), _separator(F.col("apart")).alias("separator"),
+        moment(DAY_FIRST).alias("by_day"), moment(MONTH_FIRST).alias("by_month"),
+    ).select(F.when(open_, F.col("text")).alias("text"), "separator", "by_day", "by_month")
     by_day, by_month = F.col("by_day"), F.col("by_month")
-    lost = by_day.isNull() & by_month.isNull()
+    lost = F.col("text").isNotNull() & by_day.isNull() & by_month.isNull()
 
     def least(condition: Column) -> Column:
         return F.min(F.when(condition, F.col("text")))
@@ -126,46 +142,62 @@ def spelling_orders(df: DataFrame, name: str, kind: str = "timestamp_ntz") -> Da
     )
 
 
-def _alone(text: Column, kind: str) -> Column:
-    """The date of a text that needs no other row to be read, else null."""
-    date = _date(text)
-    month = F.regexp_extract(date, "([A-Za-z]+)", 1)
-    by_name = F.regexp_replace(
-        F.regexp_replace(date, F.lit(DAY_NAMED), F.concat(F.lit("$3-"), _month(month), F.lit("-$1"))),
-        F.lit(MONTH_NAMED), F.concat(F.lit("$3-"), _month(month), F.lit("-$2")),
-    )
-    by_number = F.regexp_replace(F.regexp_replace(date, YEAR_FIRST, "$1-$2-$3"), DIGITS, "$1-$2-$3")
-    return F.coalesce(text.try_cast(kind), _moment(F.when(month == "", by_number).otherwise(by_name), text, kind))
+def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """`function` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), function)[0]
 
 
-def _year_last(text: Column, order: Column, kind: str) -> Column:
-    """A date of numbers that ends in its year, in the given order, else null."""
-    date = _date(text)
-    return F.when(date.rlike(YEAR_LAST), _moment(F.regexp_replace(date, F.lit(YEAR_LAST), order), text, kind))
+def _taken_apart(text: Column) -> Column:
+    """ALONE and what a text reads as by itself, in ISO order, or `?` and a date of numbers that ends in its year; both
+    with the time of day in 24 hours. Null if the time or the month is none."""
 
+    def of_date(text: Column, date: Column) -> Column:
+        return F.when(date.rlike(YEAR_LAST), F.concat(F.lit("?"), date, _clock(text))).otherwise(
+            F.concat(F.lit(ALONE), _year_first(date), _clock(text))
+        )
 
-def _separator(text: Column) -> Column:
-    return F.regexp_extract(_date(text), YEAR_LAST, 2)
+    def of_text(text: Column) -> Column:
+        date = F.when(text.contains(":"), F.regexp_replace(text, CLOCK, "")).otherwise(text)
+        return _bound(date, lambda date: of_date(text, date))
 
+    return _bound(trimmed(text), of_text)
 
-def _date(text: Column) -> Column:
-    """The text without its time of day."""
-    return F.regexp_replace(trimmed(text), CLOCK, "")
 
+def _separator(apart: Column) -> Column:
+    return F.regexp_extract(apart, LATER + NUMBERS, 2)
 
-def _moment(date: Column, text: Column, kind: str) -> Column:
-    """An ISO date with the text's time of day, in 24 or in twice 12 hours; null if it is none."""
-    clock, half = [F.regexp_extract(trimmed(text), CLOCK, no) for no in (1, 2)]
-    hour = F.substring_index(clock, ":", 1).try_cast("int")
-    later = F.when(hour.between(1, 12), (hour % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0)).cast("string"))
-    time = F.when(half == "", clock).otherwise(F.concat(later, F.regexp_replace(clock, r"^\d+", "")))
-    moment = F.concat(date, F.when(clock == "", "").otherwise(F.concat(F.lit(" "), time)))
-    return moment.try_cast("timestamp_ntz").cast(kind)
+
+def _clock(text: Column) -> Column:
+    """The time of day in 24 hours after a space, also from twice 12 hours; empty if the text has none."""
+
+    def read(found: Column) -> Column:
+        clock, half = found["clock"], F.lower(found["half"])
+        hour = F.substring_index(clock, ":", 1).try_cast("int")
+        later = F.when(hour.between(1, 12), (hour % 12 + F.when(half == "pm", 12).otherwise(0)).cast("string"))
+        halved = F.concat(F.lit(" "), later, F.regexp_replace(clock, r"^\d+", ""))
+        return F.when(clock == "", "").when(half == "", F.concat(F.lit(" "), clock)).otherwise(halved)
+
+    clock, half = [F.regexp_extract(text, CLOCK, no) for no in (1, 2)]
+    return F.when(text.contains(":"), _bound(F.struct(clock.alias("clock"), half.alias("half")), read)).otherwise("")
+
+
+def _year_first(date: Column) -> Column:
+    """A date with its month by name or its year first in ISO order; others as they stand."""
+
+    def by_name(month: Column) -> Column:
+        day_named = F.regexp_replace(date, F.lit(DAY_NAMED), F.concat(F.lit("$3-"), month, F.lit("-$1")))
+        return F.regexp_replace(day_named, F.lit(MONTH_NAMED), F.concat(F.lit("$3-"), month, F.lit("-$2")))
+
+    by_number = F.regexp_replace(F.regexp_replace(date, YEAR_FIRST, "$1-$2-$3"), DIGITS, "$1-$2-$3")
+    return _bound(
+        F.lower(F.regexp_extract(date, "([A-Za-z]+)", 1)),
+        lambda name: F.when(name == "", by_number).otherwise(_bound(_month(name), by_name)),
+    )
 
 
 def _month(name: Column) -> Column:
-    """Number of a month from its name or at least three first letters of it, as text."""
+    """Number of a month from its name in small letters or at least three first letters of it, as text."""
     known = [
-        F.when(F.lit(month.lower()).startswith(F.lower(name)), F.lit(str(no))) for no, month in enumerate(MONTHS, 1)
+        F.when(F.lit(month.lower()).startswith(name), F.lit(str(no))) for no, month in enumerate(MONTHS, 1)
     ]
     return F.when(F.length(name) >= 3, F.coalesce(*known))

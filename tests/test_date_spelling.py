@@ -99,3 +99,11 @@ def test_any_dates_with_one_that_tells(spark, dates, sign, day_first):
     dates = [*dates, datetime.date(2024, 3, 25)]
     spelled = [f"%d{sign}%m{sign}%Y" if day_first else f"%m{sign}%d{sign}%Y"] * len(dates)
     assert read(spark, *[d.strftime(s) for d, s in zip(dates, spelled)], kind="date") == dates
+
+
+def test_patterns_are_searched_once(spark):
+    """However often what a pattern gives is used: the plan does not grow with it."""
+    df = frame(spark, "05/03/2024", "25/03/2024")
+    plan = df.select(read_time(df, "d", "timestamp_ntz"))._jdf.queryExecution().optimizedPlan().toString()
+    # The text is taken apart to be read, for the message if it cannot be, and for what all rows tell.
+    assert plan.count("regexp") <= 300
