@@ -402,7 +402,8 @@ def removed_windows(docs: DataFrame, unit: Unit, compare: Callable) -> DataFrame
     out = out.union(cut.repartition("h").sortWithinPartitions("h").mapInArrow(compare, FOUND))
     common = met.where(F.col("kind") == SINGLE)
     if not common.isEmpty():
-        windows = stage(with_texts(docs, common, single_windows(unit), ROW), "windows")
+        # Not written down: within one plan the texts are shuffled once for these, the candidates and the cuts.
+        windows = with_texts(docs, common, single_windows(unit), ROW)
         at = F.struct("key", F.expr(FIRST).alias("lo"))
         firsts = windows.groupBy("h", "r").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         later = windows.join(firsts, ["h", "r"]).where(at > F.col("first"))

@@ -95,6 +95,25 @@ def test_odd_documents(spark, monkeypatch, wide, rows):
     monkeypatch.undo()
 
 
+def test_windows_of_very_common_anchors_do_not_shuffle_the_texts_again(spark, monkeypatch):
+    """The texts reach these, the candidates and the cuts by one exchange: nothing is written in between."""
+    docs, meet, stage, staged = odd_documents(spark), repeats.meet, repeats.stage, []
+
+    def small_meet(batches):  # runs inside the worker
+        repeats.WIDE, repeats.ROWS = 1, 3
+        yield from meet(batches)
+
+    def noted(df, name):
+        staged.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(repeats, "meet", small_meet)
+    monkeypatch.setattr(repeats, "stage", noted)
+    for result in (substring.substring_dedup(docs), suffix.suffix_dedup(docs)):
+        assert result.count() == len(odd_rows())
+    assert staged == ["met", "met"]
+
+
 def test_texts_without_an_id_keep_their_own_cuts(spark):
     """A few thousand rows without an id: far more than 16 bits of a hash tell apart."""
     shared = [prose(f"shared {i}", 40) for i in range(5)]
