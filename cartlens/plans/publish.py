@@ -4,7 +4,7 @@ Every table has a fingerprint per partition (transactions by month, events by da
 of the current generation they tell which partitions were added, rewritten or removed; only these are written.
 The folds of the facts (per customer, campaign, product, day) are stored tables. Of them the keys that stand in a
 changed partition, before or after, are folded anew from all their rows (a semi-join); the others are taken over
-(an anti-join). The marts are derived from the folds: what depends on all customers (scores, medians) moves with
+(an anti-join). Where these are most of the keys, all rows are folded without a look-up. The marts are derived from the folds: what depends on all customers (scores, medians) moves with
 them, and no fact is read for it. A table whose content is the same keeps its folder.
 
 The result equals a full build of the same raw tables. Readers hold the generation they opened.
@@ -95,11 +95,18 @@ class Publication:
         carried = [] if parts is None else [row for row in old if row["part"] not in parts and row["row_count"]]
         old = old if parts is None else [row for row in old if row["part"] in parts]
         was = self.spark.createDataFrame(old, generations.MANIFEST)
-        found = stage(fingerprints(df, table, by), "fingerprints")
+        folders = {row["part"]: row["folder"] for row in old}
+        if old:
+            found = stage(fingerprints(df, table, by), "fingerprints")
+        else:
+            # Nothing to compare with: `df` is computed once, and what was written of it is read.
+            folders = write_parts(df, self.root, table, by)
+            places = [dict(folder=folder, table_schema=schema) for folder in folders.values()]
+            written_df = scan_parts(self.spark, self.root, table, places or [dict(folder=None, table_schema=schema)])
+            found = stage(fingerprints(written_df, table, by), "fingerprints")
         changes = [row.asDict() for row in changed_parts(was, found).collect()]
         written = [change["part"] for change in changes if change["change"] != "removed"]
-        folders = {row["part"]: row["folder"] for row in old}
-        if written:
+        if old and written:
             touched = df
             if by and len(written) < found.count():
                 parts = self.spark.createDataFrame([(part,) for part in written], "part string")
@@ -111,13 +118,17 @@ class Publication:
         self.rows[table] = carried + [row | {"folder": folders.get(row["part"]) if row["row_count"] else None, "table_schema": schema} for row in rows]
         self.changes += changes
 
+    def add_derived(self, name: str, df: DataFrame, by: str | None = None, parts: list | None = None) -> None:
+        """The same of a result that costs more to compute than to write: once, also where it is compared."""
+        self.add(name, stage(df, name) if self.old(name) else df, by, parts)
+
     def fold(self, name: str) -> None:
         """Fold the keys of changed partitions anew and take over the others."""
         function, fact, key = FOLDS[name]
         now, changed = self.table(fact), [change["part"] for change in self.changed(fact)]
         old = self.old(name)
         if not old or old[0]["table_schema"] != layout(function(now)):
-            self.add(name, function(now))
+            self.add_derived(name, function(now))
             return
         if not changed:
             self.rows[name] = old
@@ -129,15 +140,19 @@ class Publication:
             return df.join(parts, F.col(by).cast("string").eqNullSafe(parts["part"]), "left_semi").select(F.col(key).alias("touched"))
 
         touched = stage(keys_of(now).union(keys_of(self.old_table(fact))).distinct(), "touched-keys")
+        if 2 * touched.count() > sum(row["row_count"] for row in old):
+            # Most keys: all rows are folded, none is looked up before.
+            self.add_derived(name, function(now))
+            return
 
         def among(df: DataFrame, kind: str) -> DataFrame:
             return df.join(touched, df[key].eqNullSafe(touched["touched"]), kind)
 
         kept = among(self.old_table(name), "left_anti")
-        self.add(name, stage(kept.unionByName(function(among(now, "left_semi"))), name))
+        self.add_derived(name, kept.unionByName(function(among(now, "left_semi"))))
 
     def mart(self, name: str) -> None:
-        self.add(MART_PREFIX + name, stage(MARTS[name](self.table), name))
+        self.add_derived(MART_PREFIX + name, MARTS[name](self.table))
 
     def manifest_rows(self) -> DataFrame:
         columns = [column.split()[0] for column in generations.MANIFEST.split(", ")]

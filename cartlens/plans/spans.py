@@ -22,7 +22,6 @@ from cartlens.operators.distinct_bits import bit_words, count_bits, number_ids
 from cartlens.plans.publish import Publication, open_published, publish_tables
 from cartlens.plans.warehouse import Warehouse, side_by_side
 from cartlens.sources import generations
-from cartlens.sources.stage import stage
 
 DAY = "date"
 # The ids that are counted, and what else orders their numbers: a customer's sessions stand side by side.
@@ -85,7 +84,7 @@ def _add_ids(run: Publication, events: DataFrame, column: str, fresh: bool) -> N
         first, batch = known.agg(F.coalesce(F.max("number") + 1, F.lit(0)), F.coalesce(F.max("batch") + 1, F.lit(0))).first()
         carried = [str(batch)]
     numbered = number_ids(found, ["beside", column], first).select(column, "number", F.lit(batch).cast("int").alias("batch"))
-    run.add(name, stage(numbered, name), "batch", None if fresh else carried)
+    run.add_derived(name, numbered, "batch", None if fresh else carried)
 
 
 def _add_sums(run: Publication, events: DataFrame, grain: str, days: list | None) -> None:
@@ -95,12 +94,12 @@ def _add_sums(run: Publication, events: DataFrame, grain: str, days: list | None
     sums = events.groupBy(grain, DAY).agg(
         F.count("event_id").alias("events"), *kinds, F.sum(seconds).alias("seconds"), F.count(seconds).alias("timed")
     )
-    run.add(sums_table(grain), stage(sums, sums_table(grain)), DAY, days)
+    run.add_derived(sums_table(grain), sums, DAY, days)
 
 
 def _add_bits(run: Publication, events: DataFrame, grain: str, column: str, days: list | None) -> None:
     name = bits_table(grain, column)
-    run.add(name, stage(bit_words(events, [grain, DAY], column, run.table(ids_table(column))), name), DAY, days)
+    run.add_derived(name, bit_words(events, [grain, DAY], column, run.table(ids_table(column))), DAY, days)
 
 
 def publish_spans(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:

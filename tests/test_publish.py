@@ -148,3 +148,41 @@ def test_fingerprints_tell_exchanged_values(spark):
     content = [generations.fingerprints(df, "t").first().content for df in (one, other, moved)]
     assert content[0] == content[2] != content[1]
     assert generations.fingerprints(one.withColumn("p", F.lit("x")), "t", "p").first().row_count == 3
+
+
+def test_a_first_publication_computes_a_table_once(spark, tmp_path):
+    """Its fingerprints come from what was written, and equal those of the frame."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (2, None)], "n long, part string")
+    run = publish.Publication(spark, str(tmp_path / "w"))
+    run.add("numbers", plain.mapInArrow(noted, plain.schema), "part")
+    assert seen.value == 4
+    found = {(row["part"], row["row_count"], row["content"]) for row in run.rows["numbers"]}
+    assert found == {(row.part, row.row_count, row.content) for row in generations.fingerprints(plain, "numbers", "part").collect()}
+    assert {(c["part"], c["change"]) for c in run.changes} == {("a", "added"), (None, "added")}
+    run.add("nothing", plain.limit(0), "part")
+    assert [(row["row_count"], row["folder"]) for row in run.rows["nothing"]] == [(0, None)] and run.table("nothing").count() == 0
+
+
+def test_most_keys_are_folded_without_a_look_up(spark, tmp_path, monkeypatch):
+    root, folded = str(tmp_path / "w"), []
+    publish.publish_warehouse(spark, base(spark), root)
+
+    def plan_of(function):
+        def fold(df):
+            folded.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return function(df)
+
+        return fold
+
+    monkeypatch.setattr(publish, "FOLDS", {name: (plan_of(f), fact, key) for name, (f, fact, key) in publish.FOLDS.items()})
+    later = base(spark, transactions=[row | dict(gross_revenue=1) for row in sales(9)], events=clicks(7))
+    publish.publish_warehouse(spark, later, root)
+    assert len(folded) > len(publish.FOLDS) and not any("touched" in plan for plan in folded if "transaction_id" in plan)
+    assert_same(publish.open_published(spark, root), build_warehouse(spark, later, str(tmp_path / "full")))
