@@ -111,7 +111,8 @@ def _products(part: DataFrame) -> DataFrame:
 
 
 def _transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    # An order is one short row: its side is held, the lines are not sorted for the join.
+    return lineitem.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_id"),
         F.col("o_orderdate").alias("timestamp"),
         F.col("o_custkey").alias("customer_id"),

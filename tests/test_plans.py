@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartlens.catalog import CATALOG
 from cartlens.plans import marts
 from cartlens.sources.stage import stage
+from cartlens.sources.testdata import raw_tables
 from tests.fixtures import fixed_warehouse
 
 # Windows over a handful of already grouped rows: segments, premium flags, experiment groups.
@@ -99,3 +100,8 @@ def test_cohort_counts_need_no_distinct_shuffle(small_warehouse):
     plan = plan_of(CATALOG["q16_cohort_retention"](small_warehouse))
     assert not re.search(r"Exchange hashpartitioning\(cohort_month#\d+, months_since_signup#\d+, customer_id", plan)
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_order_lines_are_not_sorted_for_their_join(spark):
+    plan = plan_of(raw_tables(spark, "/root/testdata/sf0.001")["transactions"])
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
