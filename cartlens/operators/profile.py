@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cartlens.functions.columns import named
 
+# Every text that reads as a decimal is of this form. One that does not costs an error that is raised and caught.
+NUMBER = r"^[\x00-\x20]*[+-]?[\p{Nd}.]+(?:[eE][+-]?\p{Nd}+)?[\x00-\x20]*$"
+
 
 def null_counts(df: DataFrame, table_name: str) -> DataFrame:
     """One row per column: table_name, row_count, column_name, column_type, null_count.
@@ -43,7 +46,7 @@ def value_sums(df: DataFrame, table_name: str) -> DataFrame:
     columns = []
     for name in df.columns:
         text = named(name).cast("string")
-        number = text.try_cast("decimal(38,6)")
+        number = _number(text)
         columns.append(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -70,7 +73,7 @@ def row_sums(df: DataFrame, table_name: str, by_value: bool = False) -> DataFram
     for name in sorted(df.columns):
         text = F.nullif(named(name).cast("string"), F.lit(""))
         if by_value:
-            text = F.coalesce(F.round(text.try_cast("decimal(38,6)"), 3).cast("decimal(38,3)").cast("string"), text)
+            text = F.coalesce(F.round(_number(text), 3).cast("decimal(38,3)").cast("string"), text)
         cells.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
     digest = F.md5(F.concat_ws("", *cells))
 
@@ -102,6 +105,11 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _number(text: Column) -> Column:
+    """The text as a decimal, null if it is no number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("decimal(38,6)"))
+
+
 def _stacked(parts: list[DataFrame]) -> DataFrame:
     stacked = parts[0]
     for part in parts[1:]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlens.plans import marts
 from cartlens.plans.clean import CLEANERS, clean_all
 from cartlens.sources.csv import scan_all_csv
+from cartlens.sources.jobs import side_by_side
 from cartlens.sources.stage import stage
 from cartlens.sources.tables import (
     MART_PREFIX,
@@ -151,9 +151,3 @@ def build_warehouse(
 
     side_by_side([partial(build_mart, name) for name in MARTS])
     return warehouse
-
-
-def side_by_side(jobs: list[Callable[[], object]]) -> list[object]:
-    """Run the jobs from threads of their own; the first error is raised once all have ended."""
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        return [job.result() for job in [pool.submit(job) for job in jobs]]

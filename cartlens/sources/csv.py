@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,12 +11,15 @@ from pyspark.sql import types as T
 from cartlens.functions.columns import named
 from cartlens.operators.profile import row_sums_all
 from cartlens.sources.csv_ranges import records
+from cartlens.sources.jobs import side_by_side
 from cartlens.sources.schemas import RAW_COLUMNS, text_schema
 from cartlens.vocabulary import NULL_TOKENS
 
 
 CORRUPT = "_corrupt_record"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+# Frames written at a time: small ones fill the gaps that large ones leave on the cluster.
+WRITERS = 4
 
 
 def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
@@ -87,8 +92,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_all_csv(exports: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """Write every frame as CSV below `folder`; the path of each by name."""
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in exports}
-    for name, df in exports.items():
-        write_csv(df, paths[name])
+    side_by_side([partial(write_csv, df, paths[name]) for name, df in exports.items()], WRITERS)
     return paths
 
 
@@ -118,11 +122,16 @@ def differing_csv(exports: dict[str, DataFrame], paths: dict[str, str]) -> DataF
 
 
 def _rendered(df: DataFrame) -> DataFrame:
-    fractional = (T.DoubleType, T.FloatType, T.DecimalType)
-    return df.select([
-        _plain_number(field.name) if isinstance(field.dataType, fractional) else named(field.name)
-        for field in df.schema
-    ])
+    return df.select([_plain(field) for field in df.schema])
+
+
+def _plain(field: T.StructField) -> Column:
+    kind = field.dataType
+    # The text of a decimal of few digits has no exponent: only zeros at its end are taken off.
+    if isinstance(kind, T.DecimalType) and 0 < kind.scale <= 6:
+        zeros_off = F.rtrim(named(field.name).cast("string"), F.lit("0"))
+        return F.rtrim(zeros_off, F.lit(".")).alias(field.name)
+    return _plain_number(field.name) if isinstance(kind, T.FractionalType) else named(field.name)
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:

@@ -1,10 +1,15 @@
 """Order-free sums of row digests, and written files held against what was to be written."""
 
+import re
+import threading
+
 import pytest
+from pyspark.sql import functions as F
 
 from cartlens import __main__ as main
 from cartlens.operators.profile import row_sums, value_sums
 from cartlens.plans import star
+from cartlens.sources import csv
 from cartlens.sources.csv import differing_csv, write_all_csv, write_csv
 
 
@@ -76,3 +81,36 @@ def test_verified_export(spark, tmp_path, small_warehouse, monkeypatch, capsys):
         {name: df.limit(1) if name == "dim_products" else df for name, df in tables.items()}, folder))
     with pytest.raises(SystemExit, match="^dim_products: [0-9]+ rows, other than the 1 in its files$"):
         main.answer(spark, given)
+
+
+NUMBERS = ["1", "-1", "+1", " 12 ", "1.50", ".5", "5.", "1e3", "1E+3", "-.5e-2", "\t7\n", "٣٤", "-0", "007", "1" * 32]
+NO_NUMBERS = ["-", ".", " ", "1996-03-13", "1-2-3", "1.2.3", "1e", "1d", "NaN", "true", "1 2", "1" * 33, "1e400", "7\x7f"]
+
+
+def test_only_texts_like_numbers_are_cast(spark):
+    """What is no number costs an error that is raised and caught; the sums are those of casting every text."""
+    df = spark.createDataFrame([(text,) for text in [*NUMBERS, *NO_NUMBERS, None]], "t string")
+    number = F.col("t").try_cast("decimal(38,6)")
+    cast = df.agg(F.round(F.sum(number), 3).cast("double"), F.sum(F.when(number.isNull(), F.length("t")))).first()
+    row = value_sums(df, "t").first()
+    assert (row.total, row.letters) == tuple(cast) and df.where(number.isNull()).count() == len(NO_NUMBERS) + 1
+    for summed in (value_sums(df, "t"), row_sums(df, "t", by_value=True)):
+        plan = summed._jdf.queryExecution().optimizedPlan().toString()
+        casts = len(re.findall(r"try_cast\(.{1,40}? as decimal\(38,6\)\)", plan))
+        assert plan.count("RLIKE") == casts > 0
+
+
+def test_decimals_lose_zeros_without_a_number_format(spark):
+    values = ["0", "-0.1", "100", "100.5", "-100", "0.000001", "-0.000001", "1234567.89", "10", None]
+    texts = spark.createDataFrame([(v,) for v in values], "v string")
+    kinds = ["decimal(10,1)", "decimal(18,4)", "decimal(18,6)", "decimal(38,6)"]
+    df = texts.select(*[F.col("v").cast(kind).alias(kind) for kind in kinds])
+    plain = csv._rendered(df)
+    assert "format_number" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.collect() == df.select(*[csv._plain_number(kind) for kind in kinds]).collect()
+
+
+def test_frames_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    both = threading.Barrier(2)
+    monkeypatch.setattr(csv, "write_csv", lambda df, path: both.wait(timeout=20))
+    assert list(write_all_csv({"a": spark.range(1), "b": spark.range(1)}, str(tmp_path))) == ["a", "b"]
