@@ -121,16 +121,26 @@ def clean_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def _whole_number(raw: DataFrame, name: str) -> Column:
     """BIGINT; '12' and '12.0' both read as 12, other text is an error."""
-    if isinstance(raw.schema[name].dataType, T.IntegralType):
-        return F.col(name).cast("bigint")
-    return F.col(name).cast("decimal(38,6)").cast("bigint")
+    return _whole(raw, name, F.col(name).cast("decimal(38,6)").cast("bigint"))
 
 
 def _whole_number_or_null(raw: DataFrame, name: str) -> Column:
     """BIGINT, null for text that is no number."""
-    if isinstance(raw.schema[name].dataType, T.IntegralType):
-        return F.col(name).cast("bigint")
-    return F.col(name).try_cast("decimal(38,6)").cast("bigint")
+    return _whole(raw, name, F.col(name).try_cast("decimal(38,6)").cast("bigint"))
+
+
+def _whole(raw: DataFrame, name: str, by_decimal: Column) -> Column:
+    """BIGINT; `by_decimal` for what is not a plain whole number already, as most are: a decimal costs many times more."""
+    column, kind = F.col(name), raw.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return column.cast("bigint")
+    whole = column.try_cast("bigint")
+    if isinstance(kind, T.StringType):
+        return F.when(whole.cast("string") == column, whole).otherwise(by_decimal)
+    if isinstance(kind, T.DoubleType):
+        # Up to 1e15 the shortest text of a whole double, which a decimal is read from, is its exact value.
+        return F.when((whole.cast("double") == column) & (F.abs(column) < 1e15), whole).otherwise(by_decimal)
+    return by_decimal
 
 
 def _flag(raw: DataFrame, name: str) -> Column:

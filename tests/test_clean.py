@@ -4,6 +4,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartlens.plans import clean
 from cartlens.sources.schemas import RAW_COLUMNS, text_schema
@@ -93,3 +94,22 @@ def test_unknown_columns_are_kept(spark):
     raw = spark.sql("SELECT '1' AS product_id, 'c' AS category, 'b' AS brand, '1' AS base_price, "
                     "'2024-01-01' AS launch_date, '1' AS is_premium, 'x' AS supplier")
     assert clean.clean_products(raw).first().supplier == "x"
+
+
+WHOLE = ["1", "-1", "+1", " 12 ", "12.0", "12.9999999", ".5", "1e3", "-0", "007", "9223372036854775807", "\t7", None]
+
+
+def test_whole_numbers_are_read_without_decimals(spark):
+    """Plain ones by themselves, all others as before by way of a decimal."""
+    texts = spark.createDataFrame([(text,) for text in WHOLE], "v string")
+    doubles = spark.createDataFrame([(d,) for d in (1.0, -0.0, 17.0, 1.5, -2.0, 2.9999999, 1e15, 2.0**60, None)], "v double")
+    for df in (texts, doubles):
+        for read in (clean._whole_number, clean._whole_number_or_null):
+            by_decimal = F.col("v").cast("decimal(38,6)").cast("bigint")
+            assert df.where(~read(df, "v").eqNullSafe(by_decimal)).collect() == []
+            plan = df.select(read(df, "v").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+            assert "THEN try_cast(v" in plan.split("decimal(38,6)")[0]
+    for text in ("x", "1.2.3", "7\x7f", "9223372036854775808"):
+        odd = spark.createDataFrame([(text,)], "v string")
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|NUMERIC_VALUE_OUT_OF_RANGE|CAST_OVERFLOW"):
+            odd.select(clean._whole_number(odd, "v")).collect()
